@@ -9,8 +9,11 @@ suffixes of the corpus isn't needed for that:
    and those that stand alone (nearly all of a clean corpus) can't repeat.
 2. Contexts.  What is left is exchanged once more with its bytes: a run and the length - 1 bytes that
    follow.  A context that occurs more than once is repeated as a whole.
-3. Merge.  The different contexts of an anchor, aligned at it, are read as strings of SYMBOL-byte
-   symbols, one string for each phase.  The contexts of one input block are a shard.  Each shard's
+3. Pieces.  A SYMBOL-byte string that no other context of the anchor has in the same place can't be
+   in a repeat, so it ends the strings: what is left are pieces.  Equal pieces are one, repeated as a
+   whole.  A passage that many texts share around different borders comes down to one piece here.
+4. Merge.  The different pieces of an anchor, aligned at it, are read as strings of SYMBOL-byte
+   symbols, one string for each phase.  The pieces of one input block are a shard.  Each shard's
    suffixes are sorted on their own; that gives its BWT.  The interleave of the shards' rows starts
    as shard after shard and is refined by one stable pass over the merged BWT for each symbol
    (Holt, McMillan, Bioinformatics 2014); the passes also carry the borders between rows that
@@ -176,11 +179,57 @@ def _contexts(parts: int, length: int, gram: int):
     return run
 
 
-def merged_repeats(texts: list[bytes], anchors: np.ndarray, shard: np.ndarray, length: int = LENGTH, symbol: int = SYMBOL) -> list[np.ndarray]:
-    """For each context: which of its string starts (those with ``length`` bytes after them) are repeated in another context.
+def live_pieces(texts: list[bytes], anchors: np.ndarray, group: np.ndarray, length: int, symbol: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, start, end) of the parts in which every aligned symbol occurs in another context of the group too.
 
-    The shards' BWTs are merged as the module says; ``shard`` numbers each context's shard, and
-    ``anchors`` is where each context is aligned.
+    Symbols are compared by 32 bits of a hash: one that looks shared by chance only makes a piece longer.
+    """
+    slices, at = [], 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (size < CHUNK or to == at):
+            size += len(texts[to])
+            to += 1
+        slices.append((at, to))
+        at = to
+
+    def cells(a: int, b: int):
+        size = np.array([len(t) for t in texts[a:b]], np.int64)
+        base = np.concatenate(([0], np.cumsum(size)))
+        c = B.prefix_hash(np.frombuffer(b"".join(texts[a:b]), np.uint8))
+        many = np.maximum(size - symbol + 1, 0)
+        owner = np.repeat(np.arange(b - a), many)
+        first = np.concatenate(([0], np.cumsum(many)))
+        t = np.arange(len(owner)) - first[owner]
+        h = B.range_hash(c, base[owner] + t, base[owner] + t + symbol)
+        where = (t - anchors[a:b][owner]).astype(B.U64) * B.U64(0x9E3779B97F4A7C15) + group[a:b][owner].astype(B.U64)
+        return (B.mix(h ^ B.mix(where)) >> B.U64(32)).astype(np.uint32), owner, first, t, size
+
+    every = np.sort(np.concatenate([cells(a, b)[0] for a, b in slices]))
+    out = []
+    for a, b in slices:
+        h, owner, first, t, size = cells(a, b)
+        at = np.searchsorted(every, h)
+        shared = np.zeros(len(h), bool)
+        inner = at + 1 < len(every)
+        shared[inner] = every[at[inner] + 1] == h[inner]
+        dead = np.concatenate(([0], np.cumsum(~shared)))
+        whole = t + length <= size[owner]
+        live = np.zeros(len(h), bool)
+        place = np.flatnonzero(whole)
+        live[place] = dead[place + length - symbol + 1] == dead[place]
+        edge = np.diff(np.concatenate(([0], (live & whole).astype(np.int8), [0])))
+        start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+        # a context's last cells have no whole string after them, so runs never cross contexts
+        out.append(np.stack((owner[start] + a, t[start], t[stop] + length)))
+    return tuple(np.concatenate(out, axis=1)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def merged_repeats(texts: list[bytes], anchors: np.ndarray, group: np.ndarray, shard: np.ndarray, length: int = LENGTH, symbol: int = SYMBOL) -> list[np.ndarray]:
+    """For each piece: which of its string starts (those with ``length`` bytes after them) are repeated in another piece of its group.
+
+    The shards' BWTs are merged as the module says; ``shard`` numbers each piece's shard, and
+    ``anchors`` is where its anchor is, from its start.
     """
     size = np.array([len(t) for t in texts], np.int64)
     buffer = np.frombuffer(b"".join(texts), np.uint8)
@@ -191,7 +240,7 @@ def merged_repeats(texts: list[bytes], anchors: np.ndarray, shard: np.ndarray, l
     start = np.concatenate(([0], np.cumsum(cells)))
     t = np.arange(len(owner)) - start[owner]
     place = base[owner] + t
-    _, letter = np.unique(B.range_hash(c, place, place + symbol), return_inverse=True)
+    _, letter = np.unique(B.range_hash(c, place, place + symbol) ^ B.mix((t - anchors[owner]).astype(B.U64) * B.U64(0x9E3779B97F4A7C15) + group[owner].astype(B.U64)), return_inverse=True)
     letter = letter.astype(np.int64) + 1  # 0 ends a string
     cell = np.arange(len(owner))
     follows = t + symbol < cells[owner]
@@ -281,10 +330,9 @@ def _intervals(length: int, symbol: int):
         owner, first, which = owner[fresh], first[fresh], which[fresh]
         contexts = list(seen)
         times = np.bincount(which, minlength=len(contexts))
-        found: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(contexts)
+        found: list[list[tuple[int, int]]] = [[] for _ in contexts]
         for i in np.flatnonzero(times > 1):
-            found[i] = (np.array([0]), np.array([len(contexts[i][2])]))
-        shard = np.array(shard)
+            found[i].append((0, len(contexts[i][2])))
         by_anchor: dict[int, list[int]] = {}
         for i, x in enumerate(contexts):
             by_anchor.setdefault(x[0], []).append(i)
@@ -292,20 +340,44 @@ def _intervals(length: int, symbol: int):
         at = 0
         while at < len(groups):
             members: list[int] = []
+            number: list[int] = []
             size = 0
             while at < len(groups) and (size < CHUNK or not members):
                 members += groups[at]
+                number += [at] * len(groups[at])
                 size += sum(len(contexts[i][2]) for i in groups[at])
                 at += 1
-            hits = merged_repeats([contexts[i][2] for i in members], np.array([contexts[i][1] for i in members]), shard[members], length, symbol)
-            for i, hit in zip(members, hits, strict=True):
-                if times[i] == 1 and hit.any():
-                    edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
-                    found[i] = (edge[::2], edge[1::2] - 1 + length)
+            cut = live_pieces([contexts[i][2] for i in members], np.array([contexts[i][1] for i in members]), np.array(number), length, symbol)
+            pieces: dict[tuple, list[tuple[int, int]]] = {}
+            for m, s, e in zip(*(x.tolist() for x in cut), strict=True):
+                i = members[m]
+                pieces.setdefault((number[m], contexts[i][1] - s, contexts[i][2][s:e]), []).append((i, s))
+            # a piece of several contexts is repeated; the others are merged with those of their anchor
+            alone: dict[int, list[tuple]] = {}
+            for x, places in pieces.items():
+                if len(places) > 1:
+                    for i, s in places:
+                        found[i].append((s, s + len(x[2])))
+                alone.setdefault(x[0], []).append(x)
+            rest = [x for own in alone.values() if len(own) > 1 and any(len(pieces[x]) == 1 for x in own) for x in own]
+            lone = 0
+            while lone < len(rest):
+                to, size = lone, 0
+                while to < len(rest) and (size < CHUNK // 4 or rest[to][0] == rest[to - 1][0]):
+                    size += len(rest[to][2])
+                    to += 1
+                part = rest[lone:to]
+                lone = to
+                hits = merged_repeats([x[2] for x in part], np.array([x[1] for x in part]), np.array([x[0] for x in part]), np.array([shard[pieces[x][0][0]] for x in part]), length, symbol)
+                for x, hit in zip(part, hits, strict=True):
+                    if len(pieces[x]) == 1 and hit.any():
+                        edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
+                        i, s = pieces[x][0]
+                        found[i] += [(int(p) + s, int(q) + s - 1 + length) for p, q in zip(edge[::2], edge[1::2], strict=True)]
         keys, starts, ends = [], [], []
         for o, f, w in zip(owner.tolist(), first.tolist(), which.tolist(), strict=True):
-            if found[w] is not None:
-                for s, e in zip(*found[w], strict=True):
+            if found[w]:
+                for s, e in sorted(found[w]):
                     if keys and keys[-1] == o and s + f <= ends[-1]:
                         ends[-1] = max(ends[-1], int(e) + f)
                     else:
