@@ -1,4 +1,615 @@
-"""Registered queries of the engine and their SQL."""
+"""Registered queries of the engine over the driver's tables, each with DuckDB SQL for the same rows.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+documents are the submissions (doc_id the accession, text the content, source the collection, lang a
+facet, n_chars a long field); labels give access tags; events are updates; region, nation, customer
+and supplier are an ontology; orders and lineitem are submissions and files; pages give paths.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.engine import files_matching, term_statistics
+from quillon.functions import analysis, jsonpath
+from quillon.operators import facets, ingest, ontology, query, search
+from quillon.operators.store import deleted, latest, upserted
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+_STOPS = "[" + ",".join(f"'{w}'" for w in analysis.STOP_WORDS) + "]"
+_FOLD = f"translate(text, '{analysis._PLAIN}', '{analysis._FOLDED}')"
+for _a, _b in analysis._DOUBLE.items():
+    _FOLD = f"replace({_FOLD}, '{_a}', '{_b}')"
+_TOK = rf"list_filter(regexp_extract_all(lower({_FOLD}), '[\p{{L}}\p{{Nd}}-]+'), lambda t: NOT list_contains({_STOPS}, t))"
+#: doc_id, text, lang, source, n_chars and tokens t
+_D = f"WITH d AS (SELECT *, {_TOK} AS t FROM documents) "
+
+
+def register(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _t(spark, sf, name) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _docs(spark, sf) -> DataFrame:
+    return _t(spark, sf, "documents")
+
+
+TOKENS = analysis.tokens(F.col("text"))
+FIELDS = query.Fields({"text": "experiment", "source": "keyword", "lang": "keyword"}, {"n_chars", "doc_id"}, ("text",))
+
+
+def _found(text: str):
+    """A query for the ids that match a search text."""
+    return lambda spark, sf: _docs(spark, sf).where(query.predicate(query.parse(text, FIELDS), FIELDS)).select("doc_id", "lang")
+
+
+def _match(name: str, text: str, where: str) -> None:
+    QUERIES[name] = _found(text)
+    ORACLES[name] = _D + f"SELECT doc_id, lang FROM d WHERE {where}"
+
+
+# ranking
+
+_BM25 = _D + """, l AS (SELECT doc_id, len(t)::DOUBLE AS len, len(list_filter(t, lambda x: x = 'from'))::DOUBLE AS a, len(list_filter(t, lambda x: x = 'idiot'))::DOUBLE AS b FROM d WHERE t IS NOT NULL),
+s AS (SELECT count(*) AS n, avg(len) AS av, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM l)
+SELECT doc_id, round(CASE WHEN a > 0 THEN ln(1 + (n - da + 0.5) / (da + 0.5)) * a / (a + 1.2 * (0.25 + 0.75 * len / av)) ELSE 0 END
+  + CASE WHEN b > 0 THEN ln(1 + (n - db + 0.5) / (db + 0.5)) * b / (b + 1.2 * (0.25 + 0.75 * len / av)) ELSE 0 END, 4) AS score
+FROM l, s WHERE a > 0 OR b > 0 ORDER BY score DESC, doc_id"""
+
+
+@register(_BM25 + " LIMIT 20")
+def bm25_two_term_top20(spark, sf):
+    scored = search.bm25(_docs(spark, sf), "doc_id", TOKENS, ["from", "idiot"])
+    return scored.select(F.col("doc").alias("doc_id"), F.round("score", 4).alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(20)
+
+
+@register(_BM25)
+def bm25_two_term_all(spark, sf):
+    return search.bm25(_docs(spark, sf), "doc_id", TOKENS, ["from", "idiot"]).select(F.col("doc").alias("doc_id"), F.round("score", 4).alias("score"))
+
+
+# analysis
+
+
+@register(_D + ", p AS (SELECT doc_id, unnest(t) AS term FROM d) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM p GROUP BY 1")
+def term_dictionary(spark, sf):
+    return term_statistics(_docs(spark, sf), TOKENS)
+
+
+def _analyzer(kind: str, sql: str) -> None:
+    def f(spark, sf):
+        return _docs(spark, sf).select(F.explode(analysis.tokens(F.col("text"), kind, folded=False, stops=[])).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+    QUERIES[f"tokenize_{kind}"] = f
+    ORACLES[f"tokenize_{kind}"] = f"SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '{sql}')) AS term FROM documents) GROUP BY 1"
+
+
+_analyzer("experiment", r"[\p{L}\p{Nd}-]+")
+_analyzer("attribute", r"[^\s,;()]+")
+_analyzer("access", r"[\p{L}\p{Nd}@.~#_-]+")
+_analyzer("letters", r"\p{L}+")
+
+
+@register(_D + ", p AS (SELECT doc_id, len(t)::BIGINT AS kept, len(regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}-]+'))::BIGINT AS every FROM d) SELECT * FROM p")
+def stopword_removed_counts(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.size(TOKENS).cast("long").alias("kept"), F.size(analysis.tokens(F.col("text"), folded=False, stops=[])).cast("long").alias("every"))
+
+
+@register("SELECT doc_id, sha256(strip_accents(replace(text, 'ß', ''))) AS folded FROM documents")
+def accent_folded_terms(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.sha2(analysis.fold(F.replace("text", F.lit("ß"), F.lit("")), extended=False), 256).alias("folded"))
+
+
+@register(r"SELECT doc_id, trim(lower(regexp_replace(text[1:200], '[^\d\w-]', ' ', 'g'))) AS cleaned FROM (SELECT doc_id, text FROM documents WHERE lang = 'en')")
+def expansion_key_cleaning(spark, sf):
+    return _docs(spark, sf).where("lang = 'en'").select("doc_id", F.trim(analysis.cleaned(F.substring("text", 1, 200))).alias("cleaned"))
+
+
+@register()
+def nfkd_normalise(spark, sf):
+    one = F.udf(analysis.normalise, useArrow=True)
+    return _docs(spark, sf).select("doc_id", F.md5(one("text")).alias("normalised"))
+
+
+# predicates
+
+_PAD = "concat(' ', array_to_string(t, ' '), ' ')"
+_match("match_all", "*:*", "true")
+_match("term_match", "idiot", "list_contains(t, 'idiot')")
+_match("phrase_match", '"gnu general public license"', f"contains({_PAD}, ' gnu general public license ')")
+_match("prefix_match", "pathet*", "len(list_filter(t, lambda x: starts_with(x, 'pathet'))) > 0")
+_match("wildcard_match", "i?iot", "len(list_filter(t, lambda x: regexp_full_match(x, 'i.iot'))) > 0")
+_match("fuzzy_match", "moron~1", "len(list_filter(t, lambda x: levenshtein(x, 'moron') <= 1)) > 0")
+_match("term_range_match", "[zu TO zw]", "len(list_filter(t, lambda x: x >= 'zu' AND x <= 'zw')) > 0")
+_match("term_range_exclusive", "{zu TO zw}", "len(list_filter(t, lambda x: x > 'zu' AND x < 'zw')) > 0")
+_match("long_range_filter", "n_chars:[1000 TO 2000}", "n_chars >= 1000 AND n_chars < 2000")
+_match("long_range_open", "n_chars:[20000 TO *]", "n_chars >= 20000")
+_match("long_equality", "doc_id:77", "doc_id = 77")
+_match("boolean_must_should_not", "+license apache -lang:fr", "list_contains(t, 'license') AND lang IS DISTINCT FROM 'fr'")
+_match("boolean_precedence", "apache AND license OR idiot AND NOT moron", "(list_contains(t, 'apache') AND list_contains(t, 'license')) OR (list_contains(t, 'idiot') AND NOT list_contains(t, 'moron'))")
+_match("boolean_groups", "(mit OR gnu) AND license AND lang:(en OR de)", "(list_contains(t, 'mit') OR list_contains(t, 'gnu')) AND list_contains(t, 'license') AND lang IN ('en', 'de')")
+_match("field_term", "source:src3", "source = 'src3'")
+
+
+@register("SELECT doc_id FROM documents WHERE lang = 'en' AND source = 'src4' AND n_chars >= 500")
+def field_filters_and(spark, sf):
+    df = _docs(spark, sf)
+    for text in ("lang:en", "source:src4", "n_chars:[500 TO *]"):
+        df = df.where(query.predicate(query.parse(text, FIELDS), FIELDS))
+    return df.select("doc_id")
+
+
+@register("SELECT doc_id, lang FROM documents WHERE lang IS NULL OR lang NOT IN ('fr', 'es')")
+def type_exclusion(spark, sf):
+    return _docs(spark, sf).where(search.of_types("x", {}, "lang", ("fr", "es"))).select("doc_id", "lang")
+
+
+@register("SELECT doc_id, lang FROM documents")
+def type_exclusion_lifted(spark, sf):
+    return _docs(spark, sf).where(search.of_types("type:x", {}, "lang", ("fr", "es"))).select("doc_id", "lang")
+
+
+@register("SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src2', 'src3')")
+def collection_with_children(spark, sf):
+    return _docs(spark, sf).where(search.in_collection("SRC1", {"Src1": ["SRC2", "src3"]}, "source")).select("doc_id", "source")
+
+
+# access
+
+_ACL = "WITH a AS (SELECT d.doc_id, d.source, coalesce(l.quality, 0) = 1 AS pub, coalesce(l.toxic, 0) = 1 AS tox FROM documents d LEFT JOIN labels l USING (doc_id)) "
+
+
+def _tagged(spark, sf) -> DataFrame:
+    marks = _t(spark, sf, "labels")
+    tags = F.filter(F.array(F.when(F.col("quality") == 1, "public"), F.when(F.col("toxic") == 1, "toxic"), F.col("source")), lambda x: x.isNotNull())
+    return _docs(spark, sf).join(marks, "doc_id", "left").select("doc_id", "source", tags.alias("access"))
+
+
+@register(_ACL + "SELECT doc_id FROM a WHERE pub")
+def acl_public(spark, sf):
+    return _tagged(spark, sf).where(search.visible(search.Principal())).select("doc_id")
+
+
+@register(_ACL + "SELECT doc_id FROM a WHERE (pub OR source = 'src2') AND NOT tox")
+def acl_allow_deny(spark, sf):
+    return _tagged(spark, sf).where(search.visible(search.Principal(("public", "src2"), ("toxic",)))).select("doc_id")
+
+
+@register("SELECT doc_id FROM documents")
+def acl_superuser(spark, sf):
+    return _tagged(spark, sf).where(search.visible(search.Principal(superuser=True))).select("doc_id")
+
+
+@register(_ACL + "SELECT doc_id FROM a WHERE pub OR doc_id = 5")
+def acl_secret_key(spark, sf):
+    return _tagged(spark, sf).withColumn("k", F.col("doc_id").cast("string")).where(search.visible(search.Principal(), "access", "k", "5")).select("doc_id")
+
+
+@register(_ACL + "SELECT doc_id, CASE WHEN pub THEN 'found' ELSE 'hidden' END AS state FROM a WHERE doc_id IN (1, 2, 3, 4, 5) UNION ALL SELECT -1, 'missing'")
+def doc_lookup_hidden_vs_missing(spark, sf):
+    asked = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, -1)], "doc_id long")
+    rows = F.broadcast(asked).join(_tagged(spark, sf), "doc_id", "left")
+    return rows.select("doc_id", F.when(F.col("access").isNull(), "missing").when(search.visible(search.Principal()), "found").otherwise("hidden").alias("state"))
+
+
+# facets
+
+_DIMS = "WITH f AS (SELECT doc_id, 'lang' AS dim, lang AS value FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents), c AS (SELECT dim, value, count(DISTINCT doc_id) AS hits FROM f WHERE value IS NOT NULL GROUP BY 1, 2) "
+
+
+def _counts(spark, sf, where=None) -> DataFrame:
+    df = _docs(spark, sf)
+    return facets.counts(facets.labels(df.where(where) if where is not None else df, "doc_id", {"lang": F.array("lang"), "source": F.array("source")}))
+
+
+@register(_DIMS + "SELECT * FROM c")
+def facet_counts_all_dims(spark, sf):
+    return _counts(spark, sf)
+
+
+@register(_DIMS + "SELECT * FROM c WHERE dim = 'lang'")
+def facet_single_dim(spark, sf):
+    return facets.counts(facets.labels(_docs(spark, sf), "doc_id", {"lang": F.array("lang")}))
+
+
+@register(_DIMS + "SELECT dim, value, hits FROM (SELECT *, row_number() OVER (PARTITION BY dim ORDER BY hits DESC, value) AS r FROM c) WHERE r <= 5")
+def facet_top_k_per_dim(spark, sf):
+    return facets.top(_counts(spark, sf), 5)
+
+
+@register("WITH v AS (SELECT CASE WHEN n_chars < 500 THEN 'n/a' ELSE lang END AS value FROM documents) SELECT 'lang' AS dim, value, count(*) AS hits FROM v GROUP BY 2")
+def facet_na_default(spark, sf):
+    c = F.when(F.col("n_chars") < 500, F.lit(None)).otherwise(F.col("lang"))
+    return facets.counts(facets.labels(_docs(spark, sf), "doc_id", {"lang": F.array(F.coalesce(c, F.lit(facets.NA)))}))
+
+
+@register("WITH v AS (SELECT CASE WHEN n_chars < 500 THEN 'n/a' ELSE lang END AS value FROM documents) SELECT 'lang' AS dim, value, count(*) AS hits FROM v WHERE value <> 'n/a' GROUP BY 2")
+def facet_na_hidden(spark, sf):
+    return facets.listed(facet_na_default(spark, sf), 10, hide_na={"lang"})
+
+
+@register(_DIMS + "SELECT dim, value, hits FROM (SELECT *, row_number() OVER (PARTITION BY dim ORDER BY hits DESC, value) AS r FROM c) WHERE r <= 2 OR (dim = 'source' AND value = 'src17') UNION ALL SELECT 'source', 'none', 0")
+def facet_selected_low_freq(spark, sf):
+    return facets.listed(_counts(spark, sf), 2, {"source": ["src17", "none"]})
+
+
+@register("SELECT 'year' AS dim, value, count(*) AS hits FROM (SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'n/a' ELSE strftime(o_orderdate, '%Y') END AS value FROM orders) WHERE value <> 'n/a' GROUP BY 2")
+def facet_year_desc(spark, sf):
+    y = F.when(F.col("o_orderkey") % 10 == 0, facets.NA).otherwise(F.date_format("o_orderdate", "yyyy"))
+    return facets.listed(facets.counts(facets.labels(_t(spark, sf, "orders"), "o_orderkey", {"year": F.array(y)})), 100, years={"year"})
+
+
+@register(_DIMS + "SELECT dim AS name, dim AS title, string_agg(value || '=' || hits, ',' ORDER BY value) AS children FROM c GROUP BY 1")
+def facet_nested_children(spark, sf):
+    rows = facets.nested(_counts(spark, sf))
+    return rows.select("name", "title", F.array_join(F.transform("children", lambda c: F.concat(c["value"], F.lit("="), c["hits"].cast("string"))), ",").alias("children"))
+
+
+@register("SELECT doc_id FROM documents WHERE lang IN ('en', 'fr') AND source IN ('src1', 'src5')")
+def drilldown_or_within_and_across(spark, sf):
+    df = _docs(spark, sf).withColumns({"lang": F.array("lang"), "source": F.array("source")})
+    return df.where(search.drilled({"lang": ["EN", "fr"], "source": ["src1", "src5"], "other": ["x"]}, {"lang": True, "source": False})).select("doc_id")
+
+
+@register(_DIMS + "SELECT * FROM c WHERE dim = 'lang'")
+def private_facet_hidden(spark, sf):
+    private, who = {"source"}, search.Principal()
+    dims = {n: F.array(n) for n in ("lang", "source") if n not in private or not who.anonymous}
+    return facets.counts(facets.labels(_docs(spark, sf), "doc_id", dims))
+
+
+# order and pages
+
+
+@register("SELECT doc_id, source, n_chars FROM documents ORDER BY source DESC, n_chars DESC, doc_id LIMIT 20 OFFSET 20")
+def sort_multi_key_page2(spark, sf):
+    return search.page_of(_docs(spark, sf).select("doc_id", "source", "n_chars"), [F.col("source").desc(), F.col("n_chars").desc(), F.col("doc_id")], 2, 20).rows
+
+
+@register("SELECT doc_id, n_chars FROM documents WHERE n_chars < 2000 OR (n_chars = 2000 AND doc_id > 10) ORDER BY n_chars DESC, doc_id LIMIT 25")
+def keyset_page(spark, sf):
+    return search.search_after(_docs(spark, sf).select("doc_id", "n_chars"), [("n_chars", True), ("doc_id", False)], [2000, 10], 25)
+
+
+@register("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 10000")
+def top_n_cap(spark, sf):
+    rows = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return search.top(rows, [F.col("l_extendedprice").desc(), F.col("l_orderkey"), F.col("l_linenumber")], 50_000)
+
+
+@register("SELECT doc_id FROM documents WHERE false")
+def empty_page(spark, sf):
+    return search.page_of(_docs(spark, sf).where("lang = 'es'").select("doc_id"), [F.col("doc_id")], 50, 1000).rows
+
+
+@register(_D + "SELECT count(*) AS total FROM d WHERE list_contains(t, 'license')")
+def total_hits(spark, sf):
+    return _found("license")(spark, sf).agg(F.count("*").alias("total"))
+
+
+@register(_D + "SELECT doc_id, substring(text, greatest(1, instr(lower(text), 'license') - 150), 300) AS snippet FROM d WHERE list_contains(t, 'license')")
+def snippet_window(spark, sf):
+    rows = _docs(spark, sf).where(F.array_contains(TOKENS, "license"))
+    return rows.select("doc_id", search.snippet(F.col("text"), ["license"]).alias("snippet"))
+
+
+# ontology: a world of regions, nations and their customers' segments
+
+_EDGES = "WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 'r' || r_regionkey, 'world' FROM region UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier), k AS (SELECT parent AS ancestor, child AS descendant FROM e UNION SELECT k.ancestor, e.child FROM k JOIN e ON e.parent = k.descendant) "
+
+
+def _world(spark, sf) -> dict[str, DataFrame]:
+    n, r, s = _t(spark, sf, "nation"), _t(spark, sf, "region"), _t(spark, sf, "supplier")
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    edges = n.select(key("n", "n_nationkey").alias("child"), key("r", "n_regionkey").alias("parent")).unionByName(r.select(key("r", "r_regionkey").alias("child"), F.lit("world").alias("parent")))
+    edges = edges.unionByName(s.select(key("s", "s_suppkey").alias("child"), key("n", "s_nationkey").alias("parent")))
+    nodes = n.select(key("n", "n_nationkey").alias("id"), F.col("n_name").alias("term")).unionByName(r.select(key("r", "r_regionkey").alias("id"), F.col("r_name").alias("term"))).unionByName(s.select(key("s", "s_suppkey").alias("id"), F.col("s_name").alias("term")))
+    nodes = nodes.unionByName(spark.createDataFrame([("world", "World")], "id string, term string")).withColumn("organizational", F.col("id") == "world")
+    alt = n.select(key("n", "n_nationkey").alias("id"), F.concat(F.lit("Land "), F.col("n_name")).alias("synonym"))
+    return {"nodes": nodes, "alt": alt, "edges": edges, "part_of": edges.limit(0)}
+
+
+@register(_EDGES + "SELECT * FROM k")
+def onto_closure(spark, sf):
+    return ontology.closure(_world(spark, sf)["edges"])
+
+
+_TAGS = _EDGES + ", g AS (SELECT c_custkey AS doc, 'n' || c_nationkey AS id FROM customer UNION ALL SELECT c_custkey, 'r' || (c_custkey % 5) FROM customer), kk AS (SELECT * FROM k UNION ALL SELECT DISTINCT child, child FROM e UNION ALL SELECT 'world', 'world'), h AS (SELECT ancestor AS id, count(DISTINCT doc) AS hits FROM g JOIN kk ON kk.descendant = g.id GROUP BY 1) "
+
+
+def _tags(spark, sf) -> DataFrame:
+    c = _t(spark, sf, "customer")
+    return c.select(F.col("c_custkey").alias("doc"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("id")).unionByName(c.select(F.col("c_custkey").alias("doc"), F.concat(F.lit("r"), (F.col("c_custkey") % 5).cast("string")).alias("id")))
+
+
+def _hits(spark, sf) -> DataFrame:
+    world = _world(spark, sf)
+    return ontology.counts_with_descendants(_tags(spark, sf), ontology.closure(world["edges"], world["nodes"]))
+
+
+@register(_TAGS + "SELECT * FROM h")
+def onto_descendant_distinct_counts(spark, sf):
+    return _hits(spark, sf)
+
+
+@register(_TAGS + "SELECT id, count(DISTINCT doc) AS hits FROM g GROUP BY 1")
+def onto_exact_counts(spark, sf):
+    return _tags(spark, sf).groupBy("id").agg(F.count_distinct("doc").alias("hits"))
+
+
+@register(_TAGS + "SELECT 'r' || r_regionkey AS id, r_name AS term, EXISTS (FROM e WHERE parent = 'r' || r_regionkey) AS has_children, hits FROM region JOIN h ON h.id = 'r' || r_regionkey WHERE hits > 0")
+def onto_children_with_counts(spark, sf):
+    return ontology.children(_world(spark, sf), "world", _hits(spark, sf))
+
+
+@register("SELECT 'n' || n_nationkey AS id, 'world/' || r_name || '/' || n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey")
+def onto_ancestor_path(spark, sf):
+    world = _world(spark, sf)
+    first = world["edges"].groupBy("child").agg(F.min("parent").alias("parent"))
+    name = world["nodes"].select("id", "term")
+    n = name.where(F.col("id").startswith("n")).join(first, F.col("id") == F.col("child")).join(name.select(F.col("id").alias("parent"), F.col("term").alias("p")), "parent")
+    return n.select("id", F.concat_ws("/", F.lit("world"), "p", "term").alias("path"))
+
+
+@register("SELECT 'n' || n_nationkey AS id, [lower(n_name), lower('Land ' || n_name)] .list_sort() .array_to_string('|') AS keys, coalesce((SELECT string_agg(s_name, '|' ORDER BY s_name) FROM supplier WHERE s_nationkey = n_nationkey), '') AS descendants FROM nation UNION ALL SELECT 'r' || r_regionkey, lower(r_name), (SELECT string_agg(x, '|' ORDER BY x) FROM (SELECT n_name AS x FROM nation WHERE n_regionkey = r_regionkey UNION SELECT s_name FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_regionkey = r_regionkey)) FROM region")
+def expansion_rows(spark, sf):
+    rows = ontology.expansion_rows(_world(spark, sf))
+    return rows.select("id", F.array_join("keys", "|").alias("keys"), F.array_join("descendants", "|").alias("descendants"))
+
+
+_match_expanded = {"idiot": ({"idiot", "moron"}, {"clown"})}
+
+
+@register(_D + "SELECT doc_id FROM d WHERE list_has_any(t, ['idiot', 'moron', 'clown'])")
+def query_expansion_or(spark, sf):
+    tree, *_ = query.expand(query.parse("idiot", FIELDS), _match_expanded, fields=(None, "text"))
+    return _docs(spark, sf).where(query.predicate(tree, FIELDS)).select("doc_id")
+
+
+@register(_D + ", p AS (SELECT DISTINCT unnest(t) AS term FROM d) SELECT w AS term FROM (VALUES ('idiot'), ('license'), ('zzzz'), ('apache')) v(w) WHERE w IN (SELECT term FROM p)")
+def expansion_terms_present(spark, sf):
+    asked = spark.createDataFrame([("idiot",), ("license",), ("zzzz",), ("apache",)], "term string")
+    return F.broadcast(asked).join(_docs(spark, sf).select(F.explode(TOKENS).alias("term")).where(F.col("term").isin("idiot", "license", "zzzz", "apache")).distinct(), "term", "left_semi")
+
+
+@register("SELECT p_partkey, p_name || CASE p_partkey % 4 WHEN 0 THEN ' (old)' WHEN 1 THEN ', new' WHEN 2 THEN ' NOS' ELSE '' END AS term FROM part WHERE p_partkey % 4 = 3")
+def expansion_stop_terms(spark, sf):
+    k = F.col("p_partkey") % 4
+    term = F.concat("p_name", F.when(k == 0, " (old)").when(k == 1, ", new").when(k == 2, " NOS").otherwise(""))
+    return _t(spark, sf, "part").select("p_partkey", term.alias("term")).where(~F.col("term").rlike("^(?:" + ontology.STOP_RULE + ")$") & (F.length("term") >= 3))
+
+
+@register("SELECT n_name || '|o|n' || n_nationkey AS line, 0 AS kind FROM nation WHERE lower(n_name) LIKE 'nation_1%' UNION ALL SELECT r_name || '|o|r' || r_regionkey, 0 FROM region WHERE lower(r_name) LIKE 'nation_1%'")
+def autocomplete_prefix(spark, sf):
+    world = _world(spark, sf)
+    return ontology.autocomplete(world["nodes"], world["alt"].select(F.col("synonym").alias("term")), "nation_1", 100)
+
+
+@register("(SELECT 'Land ' || n_name || '|t|content' AS line, 1 AS kind FROM nation ORDER BY n_name LIMIT 10)")
+def autocomplete_with_alt_fallback(spark, sf):
+    world = _world(spark, sf)
+    return ontology.autocomplete(world["nodes"], world["alt"].select(F.col("synonym").alias("term")), "land", 10)
+
+
+@register(_TAGS + "SELECT n_name || '|o|' || h.id || '|' || hits AS line FROM nation JOIN h ON h.id = 'n' || n_nationkey WHERE lower(n_name) LIKE 'nation%' AND hits > 0")
+def autocomplete_counts(spark, sf):
+    world = _world(spark, sf)
+    return world["nodes"].where(F.lower("term").rlike(analysis.pattern("nation*"))).join(_hits(spark, sf), "id").where("hits > 0").select(F.concat_ws("|", "term", F.lit("o"), "id", F.col("hits").cast("string")).alias("line"))
+
+
+@register(_D + ", p AS (SELECT doc_id, unnest(t) AS term FROM d) SELECT term, count(DISTINCT doc_id) AS df FROM p WHERE length(term) >= 4 AND term NOT IN (SELECT lower(n_name) FROM nation) GROUP BY 1 HAVING count(DISTINCT doc_id) >= 10")
+def alt_terms_df_threshold(spark, sf):
+    names = _t(spark, sf, "nation").select(F.lower("n_name").alias("term"))
+    return term_statistics(_docs(spark, sf), TOKENS).where("df >= 10 and length(term) >= 4").join(F.broadcast(names), "term", "left_anti").select("term", "df")
+
+
+@register(_D + ", p AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(t) AS term FROM d) GROUP BY 1), q AS (SELECT term, df, levenshtein(term, 'licensf') AS l FROM p WHERE starts_with(term, 'li')) SELECT term, round(1 - l / greatest(length(term), 7), 6) AS similarity, df FROM q WHERE l BETWEEN 1 AND 2 AND round(1 - l / greatest(length(term), 7), 6) >= 0.5 ORDER BY similarity DESC, df DESC, term LIMIT 5")
+def spell_suggest(spark, sf):
+    return ontology.suggestions(term_statistics(_docs(spark, sf), TOKENS), "licensf")
+
+
+@register("SELECT p_name, regexp_matches('S-' || upper(p_name[1:3]) || p_partkey, '^[A-Z]-[A-Z]+[-\\d].*|^[A-Z]{3,}\\d+.*') AS shaped FROM part")
+def accession_shape_regex(spark, sf):
+    code = F.concat(F.lit("S-"), F.upper(F.substring("p_name", 1, 3)), F.col("p_partkey").cast("string"))
+    return _t(spark, sf, "part").select("p_name", code.rlike(r"^[A-Z]-[A-Z]+[-\d].*|^[A-Z]{3,}\d+.*").alias("shaped"))
+
+
+@register()
+def dictionary_tagging(spark, sf):
+    tag = ontology.tagger({"gnu general public license": "GPL", "public license": "PL", "apache license": "Apache", "mit license": "MIT", "license": "any"})
+    return _docs(spark, sf).select("doc_id", F.array_join(tag("text"), "|").alias("labels"))
+
+
+# paths
+
+_PATH = r"WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^?#]+)', 1) AS path FROM pages), x AS (SELECT page_id, unnest(list_transform(range(1, len(string_split(path, '/')) + 1), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) AS path FROM p), c AS (SELECT path, count(DISTINCT page_id) AS hits FROM x GROUP BY 1) "
+
+
+def _path_counts(spark, sf) -> DataFrame:
+    return facets.path_counts(_t(spark, sf, "pages"), "page_id", F.regexp_extract("url", "^https?://([^?#]+)", 1))
+
+
+@register(_PATH + "SELECT * FROM c")
+def path_facet_explode(spark, sf):
+    return _path_counts(spark, sf)
+
+
+@register(_PATH + ", y AS (SELECT path, hits, string_split(path, '/')[-1] AS term FROM c) SELECT term, sum(hits)::BIGINT AS hits, bool_or(path IN (SELECT regexp_replace(path, '/[^/]*$', '') FROM c WHERE contains(path, '/'))) AS has_children FROM y WHERE starts_with(lower(term), 'e') GROUP BY 1")
+def path_facet_term_search(spark, sf):
+    return facets.path_terms(_path_counts(spark, sf), "e")
+
+
+@register(_PATH + "SELECT string_split(path, '/')[-1] AS child, max(hits) AS hits FROM c WHERE lower(string_split(path, '/')[-2]) = 'en' GROUP BY 1")
+def path_facet_children(spark, sf):
+    return facets.path_children(_path_counts(spark, sf), "en")
+
+
+@register(r"SELECT page_id, regexp_extract(regexp_extract(url, '^https?://([^?#]+)', 1), '^.+\.([^.]+)$', 1) AS ext, string_split(regexp_extract(url, '^https?://([^?#]+)', 1), '/')[-1] AS name FROM pages")
+def file_extension_and_name(spark, sf):
+    path = F.regexp_extract("url", "^https?://([^?#]+)", 1)
+    return _t(spark, sf, "pages").select("page_id", ingest.extension(path).alias("ext"), F.element_at(F.split(path, "/"), -1).alias("name"))
+
+
+# extraction from JSON
+
+
+@register("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_path_extract(spark, sf):
+    return _t(spark, sf, "events").select("event_id", F.get(F.element_at(jsonpath.extract(F.col("props"), {"k": ["$.k"]}), "k"), 0).alias("k"))
+
+
+def _events_json(spark, sf) -> DataFrame:
+    e = _t(spark, sf, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k")))).alias("items"))
+    return e.select("user_id", F.to_json(F.struct("items")).alias("raw"))
+
+
+_EV = "WITH e AS (SELECT user_id, event_id, event_type, json_extract_string(props, '$.k')::BIGINT AS k FROM events) "
+
+
+@register(_EV + "SELECT user_id, string_agg(DISTINCT k::VARCHAR, '|' ORDER BY k::VARCHAR) AS ks, count(DISTINCT k) AS n, sum(DISTINCT k)::BIGINT AS total, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS types FROM e WHERE event_type = 'error' GROUP BY 1")
+def json_recursive_filter(spark, sf):
+    v = jsonpath.extract(F.col("raw"), {"k": ["$..items[?(@.event_type==\"error\")].k", "$.none"], "t": ["$..items[?(@.event_type =~ /ERR.*/i && @.k)].event_type"]})
+    k = F.element_at("v", "k")
+    rows = _events_json(spark, sf).withColumn("v", v).where(F.size(k) > 0)
+    return rows.select("user_id", F.array_join(F.array_sort(k), "|").alias("ks"), F.size(k).cast("long").alias("n"), F.aggregate(k, F.lit(0).cast("long"), lambda a, x: a + x.cast("long")).alias("total"), F.array_join(F.array_sort(F.element_at("v", "t")), "|").alias("types"))
+
+
+@register(_EV + "SELECT event_id, regexp_extract(event_type || '-' || k, '^(?:click|view)-(\\d+)$', 1) AS number FROM e")
+def match_regex_group(spark, sf):
+    text = F.concat("event_type", F.lit("-"), F.get_json_object("props", "$.k"))
+    return _t(spark, sf, "events").select("event_id", F.regexp_extract(text, r"^(?:click|view)-(\d+)$", 1).alias("number"))
+
+
+@register("SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN NULL ELSE true END AS flag, CASE WHEN n_chars % 2 = 0 THEN lower(source) || '|' || lang ELSE lower(source) END AS collections, CASE WHEN n_chars % 2 = 0 THEN source || ' public' ELSE source END AS access FROM documents")
+def boolean_facet_collections_access(spark, sf):
+    d = _docs(spark, sf)
+    even = F.col("n_chars") % 2 == 0
+    text = F.when(F.col("n_chars") % 3 == 0, F.lit("  ")).otherwise(F.col("lang"))
+    names = F.when(even, F.concat(F.upper("source"), F.lit("| Public |"), F.col("lang"), F.lit("||"), F.col("source"))).otherwise(F.col("source"))
+    return d.select("doc_id", ingest.flag(text).alias("flag"), F.array_join(ingest.collections(names), "|").alias("collections"), ingest.access(F.array("source"), even).alias("access"))
+
+
+@register("WITH o AS (SELECT o_orderkey, epoch_ms(o_orderdate) AS m, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE epoch_ms(o_orderdate) END AS r, o_orderstatus = 'F' AS rel FROM orders), x AS (SELECT *, coalesce(CASE WHEN r > 0 THEN r END, CASE WHEN rel AND m > 0 THEN m END) AS rt FROM o) SELECT o_orderkey, rt AS rtime, coalesce(strftime(make_timestamp(rt * 1000), '%Y-%m-%d'), 'n/a') AS day, coalesce(strftime(make_timestamp(rt * 1000), '%Y'), 'n/a') AS year FROM x")
+def release_time_fallback(spark, sf):
+    m = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
+    rt = ingest.release_time(F.when(F.col("o_orderkey") % 3 == 0, F.lit(0).cast("long")).otherwise(m), m, F.col("o_orderstatus") == "F")
+    return _t(spark, sf, "orders").select("o_orderkey", rt.alias("rtime"), ingest.day(rt).alias("day"), ingest.year(rt, "n/a").alias("year"))
+
+
+@register("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN -1 WHEN 1 THEN epoch_ms(o_orderdate) ELSE o_orderkey END AS ctime FROM orders")
+def ctime_default(spark, sf):
+    k = F.col("o_orderkey") % 3
+    text = F.when(k == 0, "no time").when(k == 1, F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.col("o_orderkey").cast("string"))
+    return _t(spark, sf, "orders").select("o_orderkey", F.coalesce(ingest.millis(text), F.lit(-1)).alias("ctime"))
+
+
+@register("SELECT p_partkey, 'P-' || p_partkey || ' ' || p_name || ' ' || p_brand AS content FROM part WHERE p_name <> p_brand")
+def content_assembly_distinct(spark, sf):
+    acc = F.concat(F.lit("P-"), F.col("p_partkey").cast("string"))
+    return _t(spark, sf, "part").where("p_name <> p_brand").select("p_partkey", ingest.content(acc, F.array("p_name", "p_brand"), F.array("p_name"), F.array(F.lit(None).cast("string"), F.lit(""))).alias("content"))
+
+
+# files
+
+
+def _order_files(spark, sf) -> DataFrame:
+    li = _t(spark, sf, "lineitem")
+    return li.select(F.col("l_orderkey").alias("owner"), F.col("l_linenumber").cast("long").alias("file_position"), F.concat(F.lit("part-"), F.col("l_partkey").cast("string"), F.lit(".txt")).alias("file_name"), F.col("l_quantity").cast("long").alias("file_size"), F.col("l_returnflag").alias("file_section"), F.create_map(F.lit("status"), F.col("l_linestatus"), F.lit("flag"), F.col("l_returnflag")).alias("attrs"))
+
+
+@register("SELECT l_orderkey AS owner, count(*) AS files, string_agg(DISTINCT l_returnflag, ' ' ORDER BY l_returnflag) AS sections_with_files, 'Name|Size|Section|flag|status|' AS file_attribute_names FROM lineitem GROUP BY 1")
+def files_aggregate_per_owner(spark, sf):
+    return ingest.file_summary(_order_files(spark, sf))
+
+
+@register("SELECT l_orderkey AS owner, count(*) AS n FROM lineitem WHERE contains('part-' || l_partkey || '.txt', '77') OR contains(lower(l_linestatus), '77') GROUP BY 1")
+def file_search_wildcard(spark, sf):
+    return files_matching(_order_files(spark, sf), "*77*").groupBy("owner").agg(F.count("*").alias("n"))
+
+
+@register("SELECT l_orderkey AS owner, l_linenumber::BIGINT AS file_position, l_quantity::BIGINT AS file_size FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag = 'N' ORDER BY file_size DESC, owner, file_position, l_partkey LIMIT 50")
+def file_sort_page(spark, sf):
+    rows = files_matching(_order_files(spark, sf), None, {"status": "O", "flag": "N"})
+    return rows.orderBy(F.col("file_size").desc(), "owner", "file_position").limit(50).select("owner", "file_position", "file_size")
+
+
+@register("SELECT o_orderkey AS owner, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey) AS file_position, 'p' || l_partkey AS file_name, l_partkey AS file_size FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 500")
+def files_explode_positions(spark, sf):
+    li = _t(spark, sf, "lineitem").where("l_orderkey < 500").join(_t(spark, sf, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    one = F.struct("l_linenumber", "l_partkey")
+    raw = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(one)).alias("x")).select(F.col("l_orderkey").alias("acc_no"), F.to_json(F.struct(F.transform("x", lambda f: F.struct(F.concat(F.lit("a/p"), f["l_partkey"].cast("string")).alias("filePath"), f["l_partkey"].alias("size"))).alias("files"))).alias("raw"))
+    return ingest.files(raw).select("owner", "file_position", "file_name", "file_size")
+
+
+# joins, updates, tables
+
+
+@register("SELECT d.doc_id, coalesce(v.views, 0)::BIGINT AS views FROM documents d LEFT JOIN (SELECT user_id, count(*) AS views FROM events WHERE event_type = 'view' GROUP BY 1) v ON v.user_id = d.doc_id")
+def view_count_left_join_default0(spark, sf):
+    v = _t(spark, sf, "events").where("event_type = 'view'").groupBy(F.col("user_id").alias("doc_id")).agg(F.count("*").alias("views"))
+    return _docs(spark, sf).select("doc_id").join(v, "doc_id", "left").select("doc_id", F.coalesce("views", F.lit(0)).alias("views"))
+
+
+@register("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'error'")
+def upsert_latest_wins(spark, sf):
+    e = _t(spark, sf, "events").select("user_id", "event_id", "event_type", "ts")
+    old = latest(e.where("event_id < 5000"), ["user_id"], ["ts", "event_id"])
+    new = latest(e.where("event_id >= 5000"), ["user_id"], ["ts", "event_id"])
+    return upserted(old, new, ["user_id"]).where("event_type <> 'error'").select("user_id", "event_id", "event_type")
+
+
+@register("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def delete_anti(spark, sf):
+    gone = _t(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return deleted(_t(spark, sf, "orders").select("o_orderkey"), gone, ["o_orderkey"])
+
+
+@register("SELECT l_orderkey AS owner, l_linenumber::BIGINT AS position, CASE WHEN l_orderkey % 7 = 0 THEN 'new' ELSE 'old' END AS state FROM lineitem WHERE l_orderkey % 7 <> 0 OR l_linenumber = 1")
+def replace_children(spark, sf):
+    li = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("owner"), F.col("l_linenumber").cast("long").alias("position"))
+    new = li.where("owner % 7 = 0 and position = 1").withColumn("state", F.lit("new"))
+    return deleted(li.withColumn("state", F.lit("old")), li.where("owner % 7 = 0"), ["owner"]).unionByName(new)
+
+
+@register("SELECT 'a' || i AS accession, i * 2 AS views FROM range(1, 6) t(i)")
+def malformed_csv_drop(spark, sf):
+    lines = spark.createDataFrame([(x,) for x in ["a1,2", "a2,4", "bad", "a3,6", "a4,x", "a4,8", "a5,9", "a5,10", ""]], "value string").repartition(1)
+    parts = F.split("value", ",")
+    rows = lines.select(F.get(parts, 0).alias("accession"), F.get(parts, 1).try_cast("long").alias("views"), F.monotonically_increasing_id().alias("at")).where("views is not null")
+    return latest(rows, ["accession"], ["at"]).select("accession", "views")
+
+
+@register("SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'pages', count(*) FROM pages")
+def index_stats(spark, sf):
+    return _docs(spark, sf).agg(F.lit("documents").alias("name"), F.count("*").alias("n")).unionByName(_t(spark, sf, "pages").agg(F.lit("pages").alias("name"), F.count("*").alias("n")))
+
+
+@register("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'error'")
+def stream_upsert(spark, sf):
+    """The events as a stream of changes, applied to a store; its final rows."""
+    import tempfile
+    import uuid
+
+    from quillon.operators.store import Store
+    from quillon.streaming import updates
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    root = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = f"{sf}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet").select("user_id", "event_id", "event_type", "ts")
+    store = Store(spark, f"{root}/tables")
+    updates.start(stream, store, "state", ["user_id"], ["ts", "event_id"], "event_type = 'error'", f"{root}/progress", every=None).awaitTermination()
+    return store.read("state").select("user_id", "event_id", "event_type")
