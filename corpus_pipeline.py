@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import secrets
 from quillon.llm.common import read, written
-from quillon.llm.decontaminate import cut_spans, find_contamination_in
+from quillon.llm.decontaminate import NEW, without_contamination
 from quillon.llm.jaccard import near_duplicates
 from quillon.llm.packing import pack
 from quillon.llm.toxicity import fit, with_toxicity
@@ -52,9 +52,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: passages that the benchmark has too are cut out of the texts; the documents stay."""
-    found = find_contamination_in(docs, read(spark, sf_dir, "benchmark"))
-    schema = found.select(*[c for c in found.columns if c != "cuts"]).schema
-    return _counted(docs, found.mapInArrow(cut_spans, schema))
+    own = {n: f"_{n}" for n in NEW if n in docs.columns}
+    found = without_contamination(docs.withColumnsRenamed(own), read(spark, sf_dir, "benchmark"))
+    return _counted(docs, found.withColumnsRenamed({v: k for k, v in own.items()}))
 
 
 def replace_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

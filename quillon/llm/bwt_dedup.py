@@ -85,7 +85,7 @@ def _anchors(parts: int, length: int, gram: int):
     def run(batches):
         for batch in batches:
             ids, keys = batch.column(0), batch.column(1).to_numpy()
-            for a, b, data, offsets in B.blocks(batch.column(2), 4 << 20):
+            for a, b, data, offsets in B.blocks(batch.column(2), 3 << 19):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, -1, np.int32)), ids.slice(a, b - a), pa.array(keys[a:b]), pa.array(np.diff(offsets)), pa.nulls(b - a, pa.binary())], names=["part", "doc_id", "key", "n", "blob"])
                 row, _, _, anchor, h = runs(data, offsets, length, gram)
                 if not len(row):
@@ -155,7 +155,7 @@ def _contexts(parts: int, length: int, gram: int):
     def run(batches):
         for batch in batches:
             keys, flags = batch.column(0).to_numpy(), batch.column(2)
-            for a, b, data, offsets in B.blocks(batch.column(1), 4 << 20):
+            for a, b, data, offsets in B.blocks(batch.column(1), 3 << 19):
                 row, first, last, anchor, h = runs(data, offsets, length, gram)
                 wanted = [np.frombuffer(b"".join(x.as_py()), np.uint32).astype(np.int64) + o for x, o in zip(flags.slice(a, b - a), offsets[:-1], strict=True)]
                 keep = np.isin(anchor, np.concatenate(wanted)) if wanted else np.zeros(0, bool)

@@ -7,12 +7,14 @@ of about a megabyte of text (or one text, where that is longer), which bounds me
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = [np.ones(1, U64), np.ones(1, U64)]
@@ -54,6 +56,14 @@ def blocks(column, limit: int = 1 << 20, rows: int = 4096) -> Iterator[tuple[int
         last = min(max(last, first + 1), n, first + rows)
         yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
+    _give_back()
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system: workers live on and share an executor's memory with the JVM."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -20,15 +20,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.llm import bytescan as B
 from quillon.llm.common import read
 
 WINDOW = 10
 SAMPLE = 8
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 3 << 20
 #: Words of test items that are sent to the executors at once (8 bytes each, and as much for the windows).
 BLOCK_WORDS = 2_000_000
 
@@ -209,31 +211,36 @@ def _scan(windows: Windows, names: list[str], schema: pa.Schema):
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """documents(doc_id, text) with n_words, spans (of words), cuts (of UTF-8 bytes) and items.
+    """All columns of documents, with n_words, spans (of words), cuts (of UTF-8 bytes) and items.
 
     Spans of one block of test items are merged; those of several blocks may overlap.  Null and
     empty texts have no words; items without words have no window; equal items all count, also
-    those with a null id, which is an empty string in ``items``.
+    those with a null id, which is an empty string in ``items``.  Columns with these names are
+    replaced.
     """
-    return _searched(documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), benchmark, window)
+    return _searched(documents.drop(*NEW), benchmark, window, None, None)
 
 
-def find_contamination_in(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """All columns of documents, and ``cuts``: byte spans of the text that the benchmark has too."""
-    found = _searched(documents.drop(*NEW), benchmark, window)
-    return found.select(*documents.drop(*NEW).columns, "cuts")
+def without_contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """All columns of documents; what the benchmark has too is cut out of the text."""
+    kept = documents.drop(*NEW)
+    return _searched(kept, benchmark, window, _cut, kept.schema)
 
 
 NEW = ("n_words", "spans", "cuts", "items")
 
 
-def _searched(texts: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+def _searched(texts: DataFrame, benchmark: DataFrame, window: int, finish, schema) -> DataFrame:
+    """One pass over the texts for each block of test items; ``finish`` works on the last one's batches in the same worker."""
     kinds = {"n_words": "long", "spans": "array<array<int>>", "cuts": "array<array<int>>", "items": "array<string>"}
     out = texts.select(*texts.columns, *((F.lit(0) if n == "n_words" else F.array()).cast(k).alias(n) for n, k in kinds.items()))
     arrow = pa.schema([pa.field("spans", pa.list_(pa.list_(pa.int32()))), pa.field("cuts", pa.list_(pa.list_(pa.int32()))), pa.field("items", pa.list_(pa.string()))])
-    for windows in blocks_of(benchmark, window):
-        out = out.mapInArrow(_scan(windows, out.columns, arrow), out.schema)
-    return out
+    names, between = out.columns, out.schema
+    windows = list(blocks_of(benchmark, window))
+    for w in windows[:-1]:
+        out = out.mapInArrow(_scan(w, names, arrow), between)
+    last = _scan(windows[-1], names, arrow)
+    return out.mapInArrow((lambda batches: finish(last(batches))) if finish else last, schema or between)
 
 
 def blocks_of(benchmark: DataFrame, window: int):
@@ -252,9 +259,9 @@ def blocks_of(benchmark: DataFrame, window: int):
 
 def _digest(batches):
     for batch in batches:
-        rows = batch.to_pydict()
+        spans_of, items_of = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("spans", "items"))
         hit, items, digest = [], [], []
-        for spans, found in zip(rows["spans"], rows["items"], strict=True):
+        for spans, found in zip(spans_of, items_of, strict=True):
             covered, last = 0, 0
             for s, e in sorted(spans):
                 covered += max(0, e - max(s, last))
@@ -263,33 +270,33 @@ def _digest(batches):
             found = sorted(set(found))
             items.append(len(found))
             digest.append(hashlib.sha256(",".join(found).encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit, pa.int64()), pa.array(items, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
+        own = [batch.column(batch.schema.get_field_index(n)) for n in ("doc_id", "n_words")]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(hit, pa.int64()), pa.array(items, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
 
 
-def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    out = found.select("doc_id", "n_words", "spans", "items").mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
-    return out.withColumn("contaminated", F.col("n_hit") > 0)
-
-
-def cut_spans(batches):
-    """(text, cuts) -> text without the byte spans, whatever other columns stand before them."""
+def _cut(batches):
+    """Batches without the columns that the search added, and without the texts' byte spans."""
     for batch in batches:
         names = batch.schema.names
-        at = names.index("text")
-        cuts = batch.column(names.index("cuts")).to_pylist()
-        if any(cuts):
-            texts = batch.column(at).to_pylist()
-            for i, own in enumerate(cuts):
-                if own:
-                    raw, kept, last = texts[i].encode(), [], 0
-                    for s, e in sorted(own):
-                        kept.append(raw[last:s] if s > last else b"")
-                        last = max(last, e)
-                    kept.append(raw[last:])
-                    texts[i] = b"".join(kept).decode()
-            new = pa.array(texts, pa.string())
-        else:
-            new = batch.column(at)
-        keep = [i for i, n in enumerate(names) if n != "cuts"]
-        yield pa.RecordBatch.from_arrays([new if i == at else batch.column(i) for i in keep], names=[names[i] for i in keep])
+        text = batch.column(names.index("text"))
+        found = {i: x for i, x in enumerate(batch.column(names.index("cuts")).to_pylist()) if x}
+        if found:
+            new = []
+            for i, own in found.items():
+                raw, kept, last = text[i].as_py().encode(), [], 0
+                for s, e in sorted(own):
+                    kept.append(raw[last:s] if s > last else b"")
+                    last = max(last, e)
+                new.append(b"".join([*kept, raw[last:]]).decode())
+            mask = np.zeros(len(text), bool)
+            mask[list(found)] = True
+            text = pc.replace_with_mask(text, pa.array(mask), pa.array(new, text.type))
+        keep = [n for n in names if n not in NEW]
+        yield pa.RecordBatch.from_arrays([text if n == "text" else batch.column(names.index(n)) for n in keep], names=keep)
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    schema = T.StructType([T.StructField(n, T.StringType() if n == "items_sha256" else T.LongType()) for n in ("doc_id", "n_words", "n_hit", "n_items", "items_sha256")])
+    out = _searched(texts, read(spark, sf_dir, "benchmark"), WINDOW, _digest, schema)
+    return out.withColumn("contaminated", F.col("n_hit") > 0)
