@@ -110,7 +110,6 @@ PARSERS: dict[str, Callable] = {
 _ROW = {
     "_acc": ["$.accNo", "$.accno"],
     "_released": ["$.released"],
-    "_ctime": ["$.creationTime", "$.creationTime.$date", "$.ctime"],
     "_types": ["$.section.type"],
     "_texts": ["$.section..value"],
     "_paths": ["$..files..filePath", "$..files..path", "$..files..relPath"],
