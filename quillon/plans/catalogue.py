@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.engine import files_matching, term_statistics
@@ -46,7 +46,10 @@ def _docs(spark, sf) -> DataFrame:
     return _t(spark, sf, "documents")
 
 
-TOKENS = analysis.tokens(F.col("text"))
+def _tokens() -> Column:
+    return analysis.tokens(F.col("text"))
+
+
 FIELDS = query.Fields({"text": "experiment", "source": "keyword", "lang": "keyword"}, {"n_chars", "doc_id"}, ("text",))
 
 
@@ -71,13 +74,13 @@ FROM l, s WHERE a > 0 OR b > 0 ORDER BY score DESC, doc_id"""
 
 @register(_BM25 + " LIMIT 20")
 def bm25_two_term_top20(spark, sf):
-    scored = search.bm25(_docs(spark, sf), "doc_id", TOKENS, ["from", "idiot"])
+    scored = search.bm25(_docs(spark, sf), "doc_id", _tokens(), ["from", "idiot"])
     return scored.select(F.col("doc").alias("doc_id"), F.round("score", 4).alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(20)
 
 
 @register(_BM25)
 def bm25_two_term_all(spark, sf):
-    return search.bm25(_docs(spark, sf), "doc_id", TOKENS, ["from", "idiot"]).select(F.col("doc").alias("doc_id"), F.round("score", 4).alias("score"))
+    return search.bm25(_docs(spark, sf), "doc_id", _tokens(), ["from", "idiot"]).select(F.col("doc").alias("doc_id"), F.round("score", 4).alias("score"))
 
 
 # analysis
@@ -85,7 +88,7 @@ def bm25_two_term_all(spark, sf):
 
 @register(_D + ", p AS (SELECT doc_id, unnest(t) AS term FROM d) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM p GROUP BY 1")
 def term_dictionary(spark, sf):
-    return term_statistics(_docs(spark, sf), TOKENS)
+    return term_statistics(_docs(spark, sf), _tokens())
 
 
 def _analyzer(kind: str, sql: str) -> None:
@@ -104,7 +107,7 @@ _analyzer("letters", r"\p{L}+")
 
 @register(_D + ", p AS (SELECT doc_id, len(t)::BIGINT AS kept, len(regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}-]+'))::BIGINT AS every FROM d) SELECT * FROM p")
 def stopword_removed_counts(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.size(TOKENS).cast("long").alias("kept"), F.size(analysis.tokens(F.col("text"), folded=False, stops=[])).cast("long").alias("every"))
+    return _docs(spark, sf).select("doc_id", F.size(_tokens()).cast("long").alias("kept"), F.size(analysis.tokens(F.col("text"), folded=False, stops=[])).cast("long").alias("every"))
 
 
 @register("SELECT doc_id, sha256(strip_accents(replace(text, 'ß', ''))) AS folded FROM documents")
@@ -112,9 +115,9 @@ def accent_folded_terms(spark, sf):
     return _docs(spark, sf).select("doc_id", F.sha2(analysis.fold(F.replace("text", F.lit("ß"), F.lit("")), extended=False), 256).alias("folded"))
 
 
-@register(r"SELECT doc_id, trim(lower(regexp_replace(text[1:200], '[^\d\w-]', ' ', 'g'))) AS cleaned FROM (SELECT doc_id, text FROM documents WHERE lang = 'en')")
+@register(r"SELECT doc_id, sha256(trim(lower(regexp_replace(text, '[^\d\w-]', ' ', 'g')))) AS cleaned FROM documents")
 def expansion_key_cleaning(spark, sf):
-    return _docs(spark, sf).where("lang = 'en'").select("doc_id", F.trim(analysis.cleaned(F.substring("text", 1, 200))).alias("cleaned"))
+    return _docs(spark, sf).select("doc_id", F.sha2(F.trim(analysis.cleaned(F.col("text"))), 256).alias("cleaned"))
 
 
 @register()
@@ -301,7 +304,7 @@ def total_hits(spark, sf):
 
 @register(_D + "SELECT doc_id, substring(text, greatest(1, instr(lower(text), 'license') - 150), 300) AS snippet FROM d WHERE list_contains(t, 'license')")
 def snippet_window(spark, sf):
-    rows = _docs(spark, sf).where(F.array_contains(TOKENS, "license"))
+    rows = _docs(spark, sf).where(F.array_contains(_tokens(), "license"))
     return rows.select("doc_id", search.snippet(F.col("text"), ["license"]).alias("snippet"))
 
 
@@ -381,7 +384,7 @@ def query_expansion_or(spark, sf):
 @register(_D + ", p AS (SELECT DISTINCT unnest(t) AS term FROM d) SELECT w AS term FROM (VALUES ('idiot'), ('license'), ('zzzz'), ('apache')) v(w) WHERE w IN (SELECT term FROM p)")
 def expansion_terms_present(spark, sf):
     asked = spark.createDataFrame([("idiot",), ("license",), ("zzzz",), ("apache",)], "term string")
-    return F.broadcast(asked).join(_docs(spark, sf).select(F.explode(TOKENS).alias("term")).where(F.col("term").isin("idiot", "license", "zzzz", "apache")).distinct(), "term", "left_semi")
+    return F.broadcast(asked).join(_docs(spark, sf).select(F.explode(_tokens()).alias("term")).where(F.col("term").isin("idiot", "license", "zzzz", "apache")).distinct(), "term", "left_semi")
 
 
 @register("SELECT p_partkey, p_name || CASE p_partkey % 4 WHEN 0 THEN ' (old)' WHEN 1 THEN ', new' WHEN 2 THEN ' NOS' ELSE '' END AS term FROM part WHERE p_partkey % 4 = 3")
@@ -412,12 +415,12 @@ def autocomplete_counts(spark, sf):
 @register(_D + ", p AS (SELECT doc_id, unnest(t) AS term FROM d) SELECT term, count(DISTINCT doc_id) AS df FROM p WHERE length(term) >= 4 AND term NOT IN (SELECT lower(n_name) FROM nation) GROUP BY 1 HAVING count(DISTINCT doc_id) >= 10")
 def alt_terms_df_threshold(spark, sf):
     names = _t(spark, sf, "nation").select(F.lower("n_name").alias("term"))
-    return term_statistics(_docs(spark, sf), TOKENS).where("df >= 10 and length(term) >= 4").join(F.broadcast(names), "term", "left_anti").select("term", "df")
+    return term_statistics(_docs(spark, sf), _tokens()).where("df >= 10 and length(term) >= 4").join(F.broadcast(names), "term", "left_anti").select("term", "df")
 
 
 @register(_D + ", p AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(t) AS term FROM d) GROUP BY 1), q AS (SELECT term, df, levenshtein(term, 'licensf') AS l FROM p WHERE starts_with(term, 'li')) SELECT term, round(1 - l / greatest(length(term), 7), 6) AS similarity, df FROM q WHERE l BETWEEN 1 AND 2 AND round(1 - l / greatest(length(term), 7), 6) >= 0.5 ORDER BY similarity DESC, df DESC, term LIMIT 5")
 def spell_suggest(spark, sf):
-    return ontology.suggestions(term_statistics(_docs(spark, sf), TOKENS), "licensf")
+    return ontology.suggestions(term_statistics(_docs(spark, sf), _tokens()), "licensf")
 
 
 @register("SELECT p_name, regexp_matches('S-' || upper(p_name[1:3]) || p_partkey, '^[A-Z]-[A-Z]+[-\\d].*|^[A-Z]{3,}\\d+.*') AS shaped FROM part")
@@ -545,9 +548,9 @@ def file_sort_page(spark, sf):
     return rows.orderBy(F.col("file_size").desc(), "owner", "file_position").limit(50).select("owner", "file_position", "file_size")
 
 
-@register("SELECT o_orderkey AS owner, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey) AS file_position, 'p' || l_partkey AS file_name, l_partkey AS file_size FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 500")
+@register("SELECT o_orderkey AS owner, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey) AS file_position, 'p' || l_partkey AS file_name, l_partkey AS file_size FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
 def files_explode_positions(spark, sf):
-    li = _t(spark, sf, "lineitem").where("l_orderkey < 500").join(_t(spark, sf, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    li = _t(spark, sf, "lineitem").join(_t(spark, sf, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
     one = F.struct("l_linenumber", "l_partkey")
     raw = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(one)).alias("x")).select(F.col("l_orderkey").alias("acc_no"), F.to_json(F.struct(F.transform("x", lambda f: F.struct(F.concat(F.lit("a/p"), f["l_partkey"].cast("string")).alias("filePath"), f["l_partkey"].alias("size"))).alias("files"))).alias("raw"))
     return ingest.files(raw).select("owner", "file_position", "file_name", "file_size")
@@ -599,13 +602,16 @@ def index_stats(spark, sf):
 @register("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'error'")
 def stream_upsert(spark, sf):
     """The events as a stream of changes, applied to a store; its final rows."""
-    import tempfile
     import uuid
 
     from quillon.operators.store import Store
     from quillon.streaming import updates
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "/tmp/checkpoints"
     root = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
     path = f"{sf}/events.parquet"
     schema = spark.read.parquet(path).schema

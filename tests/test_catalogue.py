@@ -1,5 +1,9 @@
 """Every registered query of the engine gives DuckDB's rows."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 from quillon.plans import catalogue
@@ -22,3 +26,8 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns == ["doc_id", "score"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_imports_without_a_session():
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], check=True, timeout=120)
