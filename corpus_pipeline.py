@@ -29,10 +29,26 @@ def _counted(docs: DataFrame, changed: DataFrame) -> DataFrame:
     return changed.select(*docs.columns)
 
 
+def _aside(docs: DataFrame, names) -> dict[str, str]:
+    """Own columns with names that an operator adds -> names that nothing has, for the time of the stage."""
+    taken = {c.lower() for c in docs.columns}
+    out = {}
+    for c in docs.columns:
+        if c.lower() in names:
+            new = f"_{c}"
+            while new.lower() in taken:
+                new = f"_{new}"
+            taken.add(new.lower())
+            out[c] = new
+    return out
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: documents that the toxicity models reject (a score of 0.5 or more) go."""
     model = fit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return with_toxicity(docs, model).where("toxicity < 0.5").select(*docs.columns)
+    own = _aside(docs, ("toxicity",))
+    kept = with_toxicity(docs.withColumnsRenamed(own), model).where("toxicity < 0.5").drop("toxicity")
+    return kept.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,16 +68,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: passages that the benchmark has too are cut out of the texts; the documents stay."""
-    own = {n: f"_{n}" for n in NEW if n in docs.columns}
+    own = _aside(docs, NEW)
     found = without_contamination(docs.withColumnsRenamed(own), read(spark, sf_dir, "benchmark"))
     return _counted(docs, found.withColumnsRenamed({v: k for k, v in own.items()}))
 
 
 def replace_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: every secret becomes a mark."""
-    found = secrets.scan(docs.withColumnRenamed("secrets", "_own") if "secrets" in docs.columns else docs)
+    own = _aside(docs, ("secrets",))
+    found = secrets.scan(docs.withColumnsRenamed(own))
     out = found.withColumn("text", secrets.redacted(F.col("text"), F.col("secrets"))).drop("secrets")
-    return _counted(docs, out.withColumnRenamed("_own", "secrets") if "secrets" in docs.columns else out)
+    return _counted(docs, out.withColumnsRenamed({v: k for k, v in own.items()}))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

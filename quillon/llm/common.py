@@ -48,6 +48,7 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, folds: int, he
 
     At most ``bound`` rows of each label value, those with the smallest hash of their id.
     A document labelled more than once counts with its largest label; null labels don't count.
+    Of rows with the same doc_id, one text counts, the smallest, so that repeated rows keep the bound.
     """
     marks = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").where(fold(F.col("doc_id"), folds) != held)
     marks = marks.groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -58,4 +59,4 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, folds: int, he
         chosen = part if chosen is None else chosen.unionByName(part)
     # 2 * bound rows at most, so the broadcast has a fixed bound
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")

@@ -72,8 +72,8 @@ def scan(documents: DataFrame) -> DataFrame:
     """documents with ``n_words`` and ``licenses``: structs (template, label, word, share).
 
     ``word`` is where the template begins (words from 0), ``share`` the idf-weighted part of its
-    rare words that stand in place.  Null and empty texts have no words and no licences.  Other columns pass; columns with these two names are
-    replaced.
+    rare words that stand in place.  Null and empty texts have no words and no licences.
+    Other columns pass; columns with these two names are replaced.
     """
     found = index()
     postings: dict[str, list[tuple[int, int]]] = {}
@@ -87,7 +87,8 @@ def scan(documents: DataFrame) -> DataFrame:
     total = _list([F.lit(float(sum(s for _, _, s in x["rare"]))) for x in found])
     rest = [c for c in documents.columns if c not in ("n_words", "licenses")]
     words = F.regexp_extract_all(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0))
-    step = documents.select(*rest, words.alias("_words"))
+    # the other columns are one struct meanwhile, so that no name of theirs meets one of the steps
+    step = documents.select(F.struct(*rest).alias("_row"), words.alias("_words"))
     hits = F.filter(F.transform("_words", lambda w, i: F.when(w.isin(list(postings)), F.struct(i.alias("i"), w.alias("w")))), lambda x: x.isNotNull())
     step = step.withColumn("_hits", hits)
     votes = F.array_distinct(F.flatten(F.transform("_hits", lambda h: F.transform(F.element_at(by_word, h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["p"]).alias("o"))))))
@@ -101,7 +102,8 @@ def scan(documents: DataFrame) -> DataFrame:
 
     share = lambda v: F.aggregate(placed(v), F.lit(0.0), lambda a, r: a + r["s"]) / F.get(total, v["t"])
     licences = F.transform(F.filter(votes, agrees), lambda v: F.struct(v["t"].alias("template"), F.get(labels, v["t"]).alias("label"), v["o"].alias("word"), share(v).alias("share")))
-    return step.select(*rest, F.size("_words").cast("long").alias("n_words"), F.when(F.size("_hits") > 0, licences).otherwise(F.expr("cast(array() as array<struct<template:int,label:string,word:int,share:double>>)")).alias("licenses"))
+    out = step.select("_row", F.size("_words").cast("long").alias("n_words"), F.when(F.size("_hits") > 0, licences).otherwise(F.expr("cast(array() as array<struct<template:int,label:string,word:int,share:double>>)")).alias("licenses"))
+    return out.select(*(F.col("_row")[c].alias(c) for c in rest), "n_words", "licenses")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,7 +95,8 @@ def scan(documents: DataFrame) -> DataFrame:
     columns pass; a column named ``secrets`` is replaced.
     """
     rest = [c for c in documents.columns if c != "secrets"]
-    step = documents.select(*rest, F.coalesce("text", F.lit("")).alias("_text"))
+    # the other columns are one struct meanwhile, so that no name of theirs meets one of the steps
+    step = documents.select(F.struct(*rest).alias("_row"), F.coalesce("text", F.lit("")).alias("_text"))
     step = step.withColumn("_assign", F.filter(_matches(ASSIGN, 1), lambda x: F.length(x["found"]) >= LEAST_VALUE)).withColumn("_access", _matches(ACCESS)).withColumn("_hex", _matches(HEX)).withColumn("_candidates", _matches(CANDIDATE))
     limit = lambda s: F.when(s.rlike("^[0-9a-f]+$"), LIMITS["hex"]).when(~s.rlike("[a-z]") | ~s.rlike("[A-Z]"), LIMITS["single"]).otherwise(LIMITS["mixed"])
     random = F.when(F.size("_candidates") > 0, F.filter("_candidates", lambda x: ~x["found"].rlike(ALLOW) & (window_entropy(x["found"]) >= limit(x["found"])))).otherwise(F.col("_candidates"))
@@ -106,7 +107,8 @@ def scan(documents: DataFrame) -> DataFrame:
 
     all_of = F.concat(*(numbered(i) for i in range(len(KINDS))))
     kinds = F.array(*(F.lit(k) for k in KINDS))
-    return step.select(*rest, F.transform(F.array_sort(all_of), lambda x: F.struct(F.get(kinds, x["order"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["found"].alias("found"))).alias("secrets"))
+    found = step.select("_row", F.transform(F.array_sort(all_of), lambda x: F.struct(F.get(kinds, x["order"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["found"].alias("found"))).alias("secrets"))
+    return found.select(*(F.col("_row")[c].alias(c) for c in rest), "secrets")
 
 
 def redacted(text: Column, secrets: Column, mark: str = "[secret]") -> Column:
