@@ -142,3 +142,25 @@ def test_kept_bytes_equal_brute_force(spark):
         kept = bytes(c for c, g in zip(d, gone, strict=True) if not g)
         runs = sum(g and not h for g, h in zip(gone, [False, *gone], strict=False))
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(d), sum(gone), runs, hashlib.sha256(kept).hexdigest()), i
+
+
+def linked_with(spark, texts):
+    """(found, by brute force): the pairs of texts that are linked, where all components are pairs."""
+    got = {}
+    for r in jaccard.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect():
+        got.setdefault(r.component_id, []).append(r.doc_id)
+    return {tuple(sorted(g)) for g in got.values() if len(g) > 1}
+
+
+def test_appended_words_link_short_texts(spark):
+    """Texts of 8 to 18 words and the same with one word more, beside many unrelated short texts."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    texts, expected = [], set()
+    for n in range(8, 19):
+        for _ in range(60):
+            words = [word() for _ in range(n)]
+            expected.add((len(texts), len(texts) + 1))
+            texts += [" ".join(words), " ".join([*words, word()])]
+            texts += [" ".join(word() for _ in range(n)) for _ in range(2)]
+    assert linked_with(spark, texts) == expected
