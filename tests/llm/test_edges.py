@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -164,3 +165,17 @@ def test_appended_words_link_short_texts(spark):
             texts += [" ".join(words), " ".join([*words, word()])]
             texts += [" ".join(word() for _ in range(n)) for _ in range(2)]
     assert linked_with(spark, texts) == expected
+
+
+def test_far_nodes_of_a_large_bucket_are_compared(spark, monkeypatch):
+    """Pairs whose only common signature is that of a bucket with many unrelated texts."""
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts, expected = [], set()
+    for _ in range(40):
+        text = words(30)
+        expected.add((len(texts), len(texts) + 1))
+        texts += [" ".join(text), " ".join([*text, *words(2)])]
+    one = lambda row, sets, sizes, *_: (np.arange(len(sizes)), np.full(len(sizes), 7, np.uint64))
+    monkeypatch.setattr(jaccard, "signatures", one)
+    assert linked_with(spark, texts) == expected
