@@ -14,8 +14,8 @@ seen is still known by its opening.  The models are interpolated Kneser-Ney:
 n counts the texts with a pair (a line repeated in one text counts once), t the different units
 after v, k(w) the different units before w, m the units with any; the last line is shared by both
 classes, so an expression that is rare in one of them falls back on the same counts in both.  Units
-in fewer training texts than a share UNIT_SHARE of them are one unknown unit, and pairs in fewer than
-PAIR_SHARE are scored by p_c(w) alone, so the model is bounded by the training sample.
+and pairs in a single text are not kept: such a unit is unknown, such a pair is scored by p_c(w) alone.
+A ratio seen in n texts weighs n / (n + 30) against its backoff, so rare ones count, but little.
 
 Training: at most BOUND texts of each class, by the hash of their ids.
 """
@@ -34,8 +34,10 @@ from quillon.llm.common import fold, labelled, read, written
 FOLDS, HELD = 5, 0
 #: Documented bound of the training sample: texts of each class.
 BOUND = 2000
-UNIT_SHARE, PAIR_SHARE = 1 / 300, 1 / 150
-LEAST = 3
+#: Texts that a unit or a pair is in at least, whatever the sample's size.
+LEAST = 2
+#: Texts at which a unit's or a pair's own ratio has half the weight; the other half is its backoff's (of a unit, 0).
+UNIT_TRUST, PAIR_TRUST = 30.0, 30.0
 DISCOUNT = 0.75
 #: Bytes of a word's openings.
 OPENINGS = (4, 6)
@@ -127,10 +129,13 @@ class Ratio:
             tv = np.bincount(v[n > 0], minlength=self.width)
             scale.append(np.where(nv > 0, d * tv / np.maximum(nv, 1), 1.0))
             top.append(np.maximum(n - d, 0) / np.maximum(nv[v], 1))
-        self.log_single = np.log(self.single[1]) - np.log(self.single[0])
+        held = np.bincount(w, weights=counts.sum(axis=0), minlength=self.width)
+        self.log_single = (np.log(self.single[1]) - np.log(self.single[0])) * held / (held + UNIT_TRUST)
         p = [top[c] + scale[c][v] * self.single[c][w] for c in (0, 1)]
         often = counts.sum(axis=0) >= least
-        self.pair, self.seen = pair[often], (np.log(p[1]) - np.log(p[0]))[often]
+        n = counts.sum(axis=0)
+        trust = n / (n + PAIR_TRUST)
+        self.pair, self.seen = pair[often], (trust * (np.log(p[1]) - np.log(p[0])) + (1 - trust) * self.log_single[w])[often]
 
     def means(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(mean ratio, different pairs) of each text."""
@@ -168,11 +173,10 @@ def fit(documents: DataFrame, labels: DataFrame, bound: int = BOUND):
     train = written(labelled(documents, labels, "toxic", FOLDS, HELD, bound), "toxic-train").withColumn("later", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(CALIBRATE)) == 0)
     counted = train.where("not later").select("text", "y")
     # the sample is bounded, and so is what these bring to the driver
-    texts = counted.count()
-    found = counted.select("text").mapInArrow(_vocabulary, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= max(LEAST, UNIT_SHARE * texts)).select("word").toPandas()
+    found = counted.select("text").mapInArrow(_vocabulary, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).select("word").toPandas()
     vocabulary = np.sort(found["word"].to_numpy(np.int64).view(B.U64))
     grams = counted.mapInArrow(_bigrams(vocabulary), "pair long, y int, n long").groupBy("pair").agg(*(F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1))).toPandas().sort_values("pair")
-    ratio = Ratio(vocabulary, grams["pair"].to_numpy(np.int64), np.stack([grams[f"n{y}"].to_numpy(np.int64) for y in (0, 1)]), max(LEAST, PAIR_SHARE * texts))
+    ratio = Ratio(vocabulary, grams["pair"].to_numpy(np.int64), np.stack([grams[f"n{y}"].to_numpy(np.int64) for y in (0, 1)]))
 
     def means(batches):
         for batch in batches:

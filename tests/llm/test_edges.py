@@ -179,3 +179,22 @@ def test_far_nodes_of_a_large_bucket_are_compared(spark, monkeypatch):
     one = lambda row, sets, sizes, *_: (np.arange(len(sizes)), np.full(len(sizes), 7, np.uint64))
     monkeypatch.setattr(jaccard, "signatures", one)
     assert linked_with(spark, texts) == expected
+
+
+def toxic_tables(spark, n, rare, first=0):
+    """n ordinary and n toxic texts of the same words; the toxic ones ``rare`` of first, first + 1, ... have a word of their own."""
+    rng = random.Random(13)
+    rows = [(i, " ".join(f"word{rng.randrange(50)}" for _ in range(12)) + (" zqxj" if first <= i - n < first + rare else " bad" if i >= n and i % 2 else "")) for i in range(2 * n)]
+    labels = [(i, int(i >= n)) for i, _ in rows]
+    asked = [(-1, "word1 word2 zqxj word3"), (-2, "word1 word2 vkpw word3")]
+    return spark.createDataFrame(rows + asked, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def asked_scores(scores):
+    return {r.doc_id: r.score for r in scores.where("doc_id < 0").collect()}
+
+
+def test_rare_toxic_words_are_known(spark):
+    """A word in 6 of 1200 toxic texts, fewer than 1/300 of what is counted, raises the score."""
+    got = asked_scores(toxicity.score(*toxic_tables(spark, 1200, 6)))
+    assert got[-1] > got[-2]
