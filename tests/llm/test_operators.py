@@ -100,3 +100,21 @@ def test_pipeline_stages(spark):
     clean = corpus_pipeline.replace_secrets(spark, kept, SF)
     assert not [r for r in clean.select("text").collect() if re.search(r"AKIA[A-Z0-9]{12,}", r.text or "")]
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_packing_ids_equal_tokenizers_at_defaults(spark):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {x.content: i for i, x in t.get_added_tokens_decoder().items()} == packing.ADDED
+    texts = ["end of part <|endoftext|> next part", "<|endoftext|><|endoftext|>x", "  <|endoftext|>\n\n y", "<|endoftext|", "é<|endoftext|>é ", "plain", ""]
+    expected = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [packing.encoder()(x) for x in texts] == expected
+    for i, x in enumerate(texts):
+        row = packing.pack(spark.createDataFrame([(i, x)], "doc_id long, text string"), window=64).orderBy("start").collect()
+        ids = np.array([*expected[i], packing.END_ID], np.uint32)
+        assert all(r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in row) and sum(r.length for r in row) == len(ids)
