@@ -13,11 +13,14 @@ seen is still known by its opening.  The models are interpolated Kneser-Ney:
 
 n counts the texts with a pair (a line repeated in one text counts once), t the different units
 after v, k(w) the different units before w, m the units with any; the last line is shared by both
-classes, so an expression that is rare in one of them falls back on the same counts in both.  Units
-and pairs in a single text are not kept: such a unit is unknown, such a pair is scored by p_c(w) alone.
-A ratio seen in n texts weighs n / (n + 30) against its backoff, so rare ones count, but little.
-
-Training: at most BOUND texts of each class, by the hash of their ids.
+classes, so an expression that is rare in one of them falls back on the same counts in both.  A
+pair in a single text is scored by p_c(w) alone; a unit in a single text adds nothing.
+A ratio seen in n texts weighs n / (n + 30) against its backoff, so rare ones count, but little (n as if both classes had as many texts).
+
+Training: all labelled texts outside the held-out fold are counted, distributed; only the logistic fit
+has a bound, BOUND / CALIBRATE texts of each class by the hash of their ids, which aren't counted.  The
+ratios are dealt by their unit into shards of about SHARD rows; each shard is broadcast on its own and
+adds its part to the texts' sums, so the memory of a task is bounded whatever the counts.
 """
 
 from __future__ import annotations
@@ -29,11 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm import bytescan as B
-from quillon.llm.common import fold, labelled, read, written
+from quillon.llm.common import fold, read, written
 
 FOLDS, HELD = 5, 0
-#: Documented bound of the training sample: texts of each class.
+#: Documented bound of the logistic fit: one in CALIBRATE of so many texts of each class.
 BOUND = 2000
+#: Ratios that are broadcast at once (16 bytes each).
+SHARD = 1_000_000
 #: Texts that a unit or a pair is in at least, whatever the sample's size.
 LEAST = 2
 #: Texts at which a unit's or a pair's own ratio has half the weight; the other half is its backoff's (of a unit, 0).
@@ -41,7 +46,7 @@ UNIT_TRUST, PAIR_TRUST = 30.0, 30.0
 DISCOUNT = 0.75
 #: Bytes of a word's openings.
 OPENINGS = (4, 6)
-#: Every so many of the sample's texts is kept from counting, for the logistic fit.
+#: One in so many labelled texts, up to the bound, is kept from counting, for the logistic fit.
 CALIBRATE = 4
 #: Scores are for equally frequent classes, moved by this share of the labels' log odds.
 PRIOR = 0.5
@@ -61,16 +66,6 @@ def _distinct(row: np.ndarray, value: np.ndarray, span: int) -> tuple[np.ndarray
     return (key // B.U64(span)).astype(np.int64), (key % B.U64(span)).astype(np.int64)
 
 
-def _vocabulary(batches):
-    """Training texts -> (unit, texts) of each block."""
-    for batch in batches:
-        for _, _, data, offsets in B.blocks(batch.column(0)):
-            row, hashes, present = units(data, offsets)
-            h, at = np.unique(np.concatenate([x[m] for x, m in zip(hashes, present, strict=True)]), return_inverse=True)
-            _, at = _distinct(np.concatenate([row[m] for m in present]), at, len(h) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.bincount(at, minlength=len(h)))], names=["word", "n"])
-
-
 def numbered(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     """Places in the sorted vocabulary from 1; 0 is the unknown unit."""
     if not len(vocabulary):
@@ -93,60 +88,139 @@ def pairs(data: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray) -> tupl
     return _distinct(np.concatenate(rows), np.concatenate(found), width * width)
 
 
-def _bigrams(vocabulary: np.ndarray):
-    """(text, y) -> (pair, y, n) of each block."""
+def _own(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, v, w) of the different pairs of each text, and the block's units; v and w are places in the units from 1, 0 for none."""
+    _, hashes, present = units(data, offsets)
+    vocabulary = np.unique(np.concatenate([h[m] for h, m in zip(hashes, present, strict=True)]))
+    row, pair = pairs(data, offsets, vocabulary)
+    return row, pair // (len(vocabulary) + 1), pair % (len(vocabulary) + 1), np.concatenate((np.zeros(1, B.U64), vocabulary))
+
+
+def _bigrams(batches):
+    """(text, y) -> (v, w, n0, n1) of each block."""
+    for batch in batches:
+        ys = batch.column(1).to_numpy()
+        for a, b, data, offsets in B.blocks(batch.column(0)):
+            row, v, w, unit = _own(data, offsets)
+            pair, at = np.unique(v * len(unit) + w, return_inverse=True)
+            n = [np.bincount(at[ys[a:b][row] == y], minlength=len(pair)) for y in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(unit[pair // len(unit)].view(np.int64)), pa.array(unit[pair % len(unit)].view(np.int64)), *map(pa.array, n)], names=["v", "w", "n0", "n1"])
+
+
+def _key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Keys of pairs of units; units have their own (v = 0 is a text's start, so it is salted)."""
+    return B.mix(B.mix(v + B.U64(0x9E3779B97F4A7C15)) + w)
+
+
+def _shard(w: np.ndarray, shards: int) -> np.ndarray:
+    return (B.mix(w) % B.U64(shards)).astype(np.int64)
+
+
+def _keyed(shards: int):
+    """(v, w, value), v null for the unit w alone -> (shard, alone, key, value)."""
 
     def run(batches):
         for batch in batches:
-            ys = batch.column(1).to_numpy()
-            for a, b, data, offsets in B.blocks(batch.column(0)):
-                row, pair = pairs(data, offsets, vocabulary)
-                for y in (0, 1):
-                    p, n = np.unique(pair[ys[a:b][row] == y], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(np.full(len(p), y, np.int32)), pa.array(n.astype(np.int64))], names=["pair", "y", "n"])
+            w = batch.column(1).to_numpy().view(B.U64)
+            alone = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            v = batch.column(0).fill_null(0).to_numpy().view(B.U64)
+            key = np.where(alone, w, _key(v, w))
+            yield pa.RecordBatch.from_arrays([pa.array(_shard(w, shards)), pa.array(alone), pa.array(key.view(np.int64)), batch.column(2)], names=["shard", "alone", "key", "value"])
 
     return run
 
 
-class Ratio:
-    """log p_1 - log p_0 of bigrams."""
-
-    def __init__(self, vocabulary: np.ndarray, pair: np.ndarray, counts: np.ndarray, least: float = LEAST):
-        """counts: a row for each class, a column for each pair (sorted)."""
-        self.vocabulary, self.width = vocabulary, len(vocabulary) + 1
-        v, w = pair // self.width, pair % self.width
-        d = DISCOUNT
-        shared = np.bincount(w, minlength=self.width).astype(float)
-        m = max(1, int((shared > 0).sum()))
-        base = np.maximum(shared - d, 0) / max(1, shared.sum()) + d * m / max(1, shared.sum()) / (m + 1)
-        self.single, scale, top = [], [], []
-        for c in (0, 1):
-            n = counts[c].astype(float)
-            k = np.bincount(w[n > 0], minlength=self.width).astype(float)
-            total = max(1.0, k.sum())
-            self.single.append(np.maximum(k - d, 0) / total + (d * (k > 0).sum() / total if k.any() else 1.0) * base)
-            nv = np.bincount(v, weights=n, minlength=self.width)
-            tv = np.bincount(v[n > 0], minlength=self.width)
-            scale.append(np.where(nv > 0, d * tv / np.maximum(nv, 1), 1.0))
-            top.append(np.maximum(n - d, 0) / np.maximum(nv[v], 1))
-        held = np.bincount(w, weights=counts.sum(axis=0), minlength=self.width)
-        self.log_single = (np.log(self.single[1]) - np.log(self.single[0])) * held / (held + UNIT_TRUST)
-        p = [top[c] + scale[c][v] * self.single[c][w] for c in (0, 1)]
-        often = counts.sum(axis=0) >= least
-        n = counts.sum(axis=0)
-        trust = n / (n + PAIR_TRUST)
-        self.pair, self.seen = pair[often], (trust * (np.log(p[1]) - np.log(p[0])) + (1 - trust) * self.log_single[w])[often]
-
-    def means(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(mean ratio, different pairs) of each text."""
-        rows = len(offsets) - 1
-        row, pair = pairs(data, offsets, self.vocabulary)
-        value = self.log_single[pair % self.width]
-        if len(self.pair):
-            at = np.minimum(np.searchsorted(self.pair, pair), len(self.pair) - 1)
-            value = np.where(self.pair[at] == pair, self.seen[at], value)
-        n = np.bincount(row, minlength=rows)
-        return np.bincount(row, weights=value, minlength=rows) / np.maximum(n, 1), n
+def ratios(counted: DataFrame) -> DataFrame:
+    """(v, w, value) of pairs, and of units with a null v: log p_1 - log p_0, weighted against the backoff."""
+    d = DISCOUNT
+    raw = counted.mapInArrow(_bigrams, "v long, w long, n0 long, n1 long").groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    grams = written(raw, "toxic-pairs")
+    # texts of the more frequent class count for less in the weights, as if both were as many
+    texts = {r.y: r["count"] for r in counted.groupBy("y").count().collect()}
+    n0_share, n1_share = (min(texts.get(0, 0), texts.get(1, 0)) / max(1, texts.get(y, 0)) for y in (0, 1))
+    count = lambda y: F.sum((F.col(f"n{y}") > 0).cast("long"))
+    byw = written(grams.groupBy("w").agg(F.count("*").alias("k"), count(0).alias("k0"), count(1).alias("k1"), F.sum(F.col("n0") + F.col("n1")).alias("held"), F.sum(n0_share * F.col("n0") + n1_share * F.col("n1")).alias("fair")), "toxic-units")
+    after = grams.groupBy("v").agg(*(f(y).alias(f"{a}{y}") for y in (0, 1) for a, f in (("nv", lambda y: F.sum(f"n{y}")), ("tv", count))))
+    t = byw.agg(F.count("*").alias("m"), F.sum("k").alias("k"), *(F.sum(f"k{y}").alias(f"k{y}") for y in (0, 1)), *(F.sum((F.col(f"k{y}") > 0).cast("long")).alias(f"m{y}") for y in (0, 1))).first()
+    total, m = max(1, t.k or 0), max(1, t.m)
+    none = d * m / total / (m + 1)
+    scale = [d * t[f"m{y}"] / t[f"k{y}"] if t[f"k{y}"] else 1.0 for y in (0, 1)]
+    base = F.greatest(F.col("k") - d, F.lit(0.0)) / float(total) + none
+    single = byw.select("w", "held", "fair", *((F.greatest(F.col(f"k{y}") - d, F.lit(0.0)) / float(max(1, t[f"k{y}"] or 0)) + scale[y] * base).alias(f"s{y}") for y in (0, 1)))
+    single = single.withColumn("alone", (F.log("s1") - F.log("s0")) * F.col("fair") / (F.col("fair") + UNIT_TRUST))
+    p = [F.greatest(F.col(f"n{y}") - d, F.lit(0.0)) / F.greatest(f"nv{y}", F.lit(1)) + F.when(F.col(f"nv{y}") > 0, d * F.col(f"tv{y}") / F.col(f"nv{y}")).otherwise(1.0) * F.col(f"s{y}") for y in (0, 1)]
+    n = F.col("n0") + F.col("n1")
+    fair = n0_share * F.col("n0") + n1_share * F.col("n1")
+    trust = fair / (fair + PAIR_TRUST)
+    both = grams.where(n >= LEAST).join(after, "v").join(single, "w").select("v", "w", (trust * (F.log(p[1]) - F.log(p[0])) + (1 - trust) * F.col("alone")).alias("value"))
+    return both.unionByName(single.where(F.col("held") >= LEAST).select(F.lit(None).cast("long").alias("v"), "w", F.col("alone").alias("value")))
+
+
+class Model:
+    """The written ratios by shard, and the logistic fit."""
+
+    def __init__(self, table: DataFrame, shards: int, slope: float = 1.0, intercept: float = 0.0, share: float = 0.0):
+        self.table, self.shards, self.slope, self.intercept, self.share = table, shards, slope, intercept, share
+
+    def shard(self, s: int) -> tuple:
+        """(units, their ratios, pairs, their ratios), sorted, of one shard."""
+        rows = self.table.where(F.col("shard") == s).select("alone", "key", "value").toArrow()
+        single, keys, values = rows.column("alone").to_numpy(), rows.column("key").to_numpy().view(B.U64), rows.column("value").to_numpy()
+        out = []
+        for of in (single, ~single):
+            key = keys[of]
+            order = np.argsort(key)
+            out += [key[order], values[of][order]]
+        return tuple(out)
+
+
+def _found(key: np.ndarray, keys: np.ndarray, values: np.ndarray, missing: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return missing
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    return np.where(keys[at] == key, values[at], missing)
+
+
+def part_sums(data: np.ndarray, offsets: np.ndarray, held: tuple, s: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sum of the ratios of shard s, different pairs) of each text; an unknown unit has 0."""
+    rows = len(offsets) - 1
+    row, v, w, unit = _own(data, offsets)
+    n = np.bincount(row, minlength=rows)
+    mine = _shard(unit, shards)[w] == s if shards > 1 else slice(None)
+    row, v, w = row[mine], v[mine], w[mine]
+    alone = _found(unit, held[0], held[1], np.zeros(len(unit)))
+    pair, at = np.unique(v * len(unit) + w, return_inverse=True)
+    value = _found(_key(unit[pair // len(unit)], unit[pair % len(unit)]), held[2], held[3], alone[pair % len(unit)])
+    return np.bincount(row, weights=value[at], minlength=rows), n
+
+
+def summed(texts: DataFrame, model: Model, name: str) -> DataFrame:
+    """texts (text first) with ``name``, the mean ratio, null without pairs."""
+    spark = texts.sparkSession
+
+    def adding(held, s, shards, first, last):
+        def run(batches):
+            for batch in batches:
+                sums, counts = [np.zeros(0)], [np.zeros(0, np.int64)]
+                for _, _, data, offsets in B.blocks(batch.column(0)):
+                    x, n = part_sums(data, offsets, held.value, s, shards)
+                    sums.append(x)
+                    counts.append(n)
+                x, n = np.concatenate(sums), np.concatenate(counts)
+                columns = batch.columns if first else batch.columns[:-1]
+                x = x if first else x + batch.columns[-1].to_numpy()
+                x = pa.array(x / np.maximum(n, 1), mask=n == 0) if last else pa.array(x)
+                yield pa.RecordBatch.from_arrays([*columns, x], names=names)
+
+        return run
+
+    names = [*texts.columns, name]
+    schema, out = T.StructType([*texts.schema.fields, T.StructField(name, T.DoubleType())]), texts
+    for s in range(model.shards):
+        last = s == model.shards - 1
+        out = out.mapInArrow(adding(spark.sparkContext.broadcast(model.shard(s)), s, model.shards, s == 0, last), schema)
+        out = out if last else written(out, "toxic-sums")  # one shard in memory at a time
+    return out
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -168,46 +242,39 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(b[0] / scale), float(b[1])
 
 
-def fit(documents: DataFrame, labels: DataFrame, bound: int = BOUND):
-    """(ratio, slope, intercept, share of toxic labels).  Without labels of both classes all scores are the share."""
-    train = written(labelled(documents, labels, "toxic", FOLDS, HELD, bound), "toxic-train").withColumn("later", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(CALIBRATE)) == 0)
-    counted = train.where("not later").select("text", "y")
-    # the sample is bounded, and so is what these bring to the driver
-    found = counted.select("text").mapInArrow(_vocabulary, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).select("word").toPandas()
-    vocabulary = np.sort(found["word"].to_numpy(np.int64).view(B.U64))
-    grams = counted.mapInArrow(_bigrams(vocabulary), "pair long, y int, n long").groupBy("pair").agg(*(F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1))).toPandas().sort_values("pair")
-    ratio = Ratio(vocabulary, grams["pair"].to_numpy(np.int64), np.stack([grams[f"n{y}"].to_numpy(np.int64) for y in (0, 1)]))
-
-    def means(batches):
-        for batch in batches:
-            for a, b, data, offsets in B.blocks(batch.column(0)):
-                x, n = ratio.means(data, offsets)
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(n), batch.column(1).slice(a, b - a)], names=["x", "n", "y"])
-
-    held = train.where("later").select("text", "y").mapInArrow(means, "x double, n long, y int").toPandas()
-    held = held[held["n"] > 0]
-    slope, intercept = logistic(held["x"].to_numpy(), held["y"].to_numpy())
-    share = float(labels.where("toxic in (0, 1)").where(fold(F.col("doc_id"), FOLDS) != HELD).agg(F.avg("toxic")).first()[0] or 0.0)
-    odds = np.clip(share, 1e-3, 1 - 1e-3)
-    return ratio, slope, intercept + PRIOR * float(np.log(odds / (1 - odds))), share
-
-
-def with_toxicity(documents: DataFrame, model) -> DataFrame:
+def training(documents: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
+    """(text, y, later): all labelled rows outside the held-out fold, one for each doc_id as in ``labelled``; later ones are for the logistic fit."""
+    marks = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").where(fold(F.col("doc_id"), FOLDS) != HELD).groupBy("doc_id").agg(F.max("y").alias("y"))
+    kept = None
+    for y in (0, 1):
+        few = marks.where((F.col("y") == y) & (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(CALIBRATE)) == 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(1, bound // CALIBRATE)).select("doc_id", F.lit(True).alias("later"))
+        kept = few if kept is None else kept.unionByName(few)
+    marks = marks.join(F.broadcast(kept), "doc_id", "left").select("doc_id", "y", F.coalesce("later", F.lit(False)).alias("later"))
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(marks, "doc_id").groupBy("doc_id", "y", "later").agg(F.min("text").alias("text")).select("text", "y", "later")
+
+
+def fit(documents: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
+    """Without labels of both classes all scores are the share of toxic labels."""
+    train = written(training(documents, labels, bound), "toxic-train")
+    found = written(ratios(train.where("not later").select("text", "y")), "toxic-ratios")
+    shards = max(1, -(-found.count() // SHARD))
+    model = Model(written(found.mapInArrow(_keyed(shards), "shard long, alone boolean, key long, value double"), "toxic-model"), shards)
+    held = summed(train.where("later").select("text", "y"), model, "x").where("x is not null").select("x", "y").toPandas()
+    model.slope, intercept = logistic(held["x"].to_numpy(float), held["y"].to_numpy())
+    model.share = float(labels.where("toxic in (0, 1)").where(fold(F.col("doc_id"), FOLDS) != HELD).agg(F.avg("toxic")).first()[0] or 0.0)
+    odds = np.clip(model.share, 1e-3, 1 - 1e-3)
+    model.intercept = intercept + PRIOR * float(np.log(odds / (1 - odds)))
+    return model
+
+
+def with_toxicity(documents: DataFrame, model: Model) -> DataFrame:
     """documents with ``toxicity``, from 0 to 1.  Texts without words get the share of toxic labels."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
     rest = [c for c in documents.columns if c not in ("toxicity", "text")]
-    out = documents.select("text", *rest)
-
-    def run(batches):
-        ratio, slope, intercept, share = shared.value
-        for batch in batches:
-            scores = [np.zeros(0)]
-            for _, _, data, offsets in B.blocks(batch.column(0)):
-                x, n = ratio.means(data, offsets)
-                scores.append(np.where(n > 0, 1 / (1 + np.exp(-np.clip(slope * x + intercept, -30, 30))), share))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores))], names=[*batch.schema.names, "toxicity"])
-
-    return out.mapInArrow(run, T.StructType([*out.schema.fields, T.StructField("toxicity", T.DoubleType())]))
+    x = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), model.slope * F.col("toxicity") + model.intercept))
+    score = F.coalesce(1 / (1 + F.exp(-x)), F.lit(model.share))
+    missing = F.col("toxicity").isNull()
+    return summed(documents.select("text", *rest), model, "toxicity").withColumn("toxicity", F.when(missing, F.lit(model.share)).otherwise(score))
 
 
 def score(documents: DataFrame, labels: DataFrame, bound: int = BOUND) -> DataFrame:

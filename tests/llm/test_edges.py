@@ -198,3 +198,14 @@ def test_rare_toxic_words_are_known(spark):
     """A word in 6 of 1200 toxic texts, fewer than 1/300 of what is counted, raises the score."""
     got = asked_scores(toxicity.score(*toxic_tables(spark, 1200, 6)))
     assert got[-1] > got[-2]
+
+
+def test_texts_beyond_the_bound_are_counted(spark, monkeypatch):
+    """The bound holds for the logistic fit alone; and shards give the same scores."""
+    tables = toxic_tables(spark, 300, 30)
+    got = asked_scores(toxicity.score(*tables, bound=8))
+    assert got[-1] > got[-2]
+    assert toxicity.training(*tables, bound=8).where("later").groupBy("y").count().where("count > 2").count() == 0
+    assert toxicity.training(*tables, bound=8).where("not later").count() > 400
+    monkeypatch.setattr(toxicity, "SHARD", 100)
+    assert asked_scores(toxicity.score(*tables, bound=8)) == pytest.approx(got, abs=1e-9)
