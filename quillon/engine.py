@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillon.functions import analysis
 from quillon.operators import facets, ingest, ontology, query, search
 from quillon.operators.store import Store, deleted, upserted
-from quillon.sources.registry import Registry
+from quillon.sources.registry import Property, Registry
 
 
 class NotAccessible(PermissionError):
@@ -37,6 +37,8 @@ class Engine:
         every = registry.properties(list(registry.collections)).values()
         self.fields = query.Fields({p.name: p.analyzer if p.type == "tokenized_string" else "keyword" for p in every}, {p.name for p in every if p.type == "long"}, tuple(n for n in ("accession", "content", "title") if registry.find(n)))
         self.dims = {p.name.replace(".", "_"): p for p in every if p.type == "facet"}
+        if onto:
+            self.dims |= {n: Property(n, "facet") for n in ("efo_id", "efo_term")}
 
     # tables
 
@@ -50,12 +52,45 @@ class Engine:
         if "content" in rows.columns:
             rows = rows.withColumn("content", F.concat_ws(" ", "content", "_t"))
         rows = rows.drop("_t").withColumn("files", F.coalesce("files", F.lit(0)))
+        if tags := self._tags(rows):
+            rows = rows.withColumns(tags)
         old, old_files = self.store.read("submissions"), self.store.read("files")
-        return self.store.commit({"submissions": rows if old is None else upserted(old, rows, ["acc_no"]), "files": files if old_files is None else deleted(old_files, rows.select(F.col("acc_no").alias("owner")), ["owner"]).unionByName(files)})
+        self.store.commit({"submissions": rows if old is None else upserted(old, rows, ["acc_no"]), "files": files if old_files is None else deleted(old_files, rows.select(F.col("acc_no").alias("owner")), ["owner"]).unionByName(files)})
+        return self._count_terms()
+
+    def _tags(self, rows: DataFrame) -> dict:
+        """The ontology's terms in the content, as two facets: ids, and the terms of these ids; each once, in the order of tagging.
+
+        The ontology comes to the driver, as the tagger is sent to all tasks; terms without an id are skipped.
+        """
+        if not self.onto or "content" not in rows.columns:
+            return {}
+        own = {r.id: r.term for r in self.onto["nodes"].select("id", "term").collect() if r.id and r.term}
+        terms = {r.synonym: f"{r.id}\t{own[r.id]}" for r in self.onto["alt"].collect() if r.id in own and r.synonym} | {t: f"{i}\t{t}" for i, t in own.items()}
+        found = ontology.tagger(terms)(F.col("content"))
+        part = lambda k: F.array_distinct(F.transform(found, lambda x: F.split_part(x, F.lit("\t"), F.lit(k))))
+        return {"efo_id": part(1), "efo_term": part(2)}
+
+    def _count_terms(self) -> dict:
+        """Keeps the dictionary and the lengths of the whole index; a commit of its own, so they may lag by one."""
+        rows = self.store.read("submissions")
+        if "content" not in rows.columns:
+            return self.store.state()
+        words = analysis.tokens(F.col("content"))
+        return self.store.commit({"terms": term_statistics(rows, words), "lengths": search.index_statistics(rows, words)})
+
+    def _known(self, terms: list[str]) -> tuple[int, float, dict[str, int]] | None:
+        """n, mean length and rows by term; of the terms alone, so few rows come to the driver."""
+        counted, lengths = self.store.read("terms"), self.store.read("lengths")
+        if counted is None or lengths is None:
+            return None
+        n, avg = lengths.first()
+        return n, avg or 0.0, {r.term: r.df for r in counted.where(F.col("term").isin(terms)).select("term", "df").collect()}
 
     def delete(self, accessions: list[str]) -> dict:
         gone = self.spark.createDataFrame([(a, a) for a in accessions], "acc_no string, owner string")
-        return self.store.delete(gone, {"submissions": ["acc_no"], "files": ["owner"]})
+        self.store.delete(gone, {"submissions": ["acc_no"], "files": ["owner"]})
+        return self._count_terms()
 
     def stats(self) -> list[dict]:
         return self.store.statistics()
@@ -95,7 +130,7 @@ class Engine:
         terms = [w for t in query.terms_of(tree) for w in query.analyzed(t, "experiment")]
         scored = bool(terms) and "content" in rows.columns
         if scored:
-            rank = search.bm25(rows, "acc_no", analysis.tokens(F.col("content")), terms).withColumnRenamed("doc", "acc_no")
+            rank = search.bm25(rows, "acc_no", analysis.tokens(F.col("content")), terms, self._known(terms)).withColumnRenamed("doc", "acc_no")
             rows = rows.join(rank, "acc_no", "left").fillna(0.0, ["score"])
         elif sort.lower() == "relevance":
             sort = "rtime" if "rtime" in rows.columns else "acc_no"
@@ -137,6 +172,8 @@ class Engine:
 
     def dictionary(self, column: str = "content") -> DataFrame:
         """(term, df)."""
+        if column == "content" and (kept := self.store.read("terms")) is not None:
+            return kept.select("term", "df")
         return term_statistics(self.store.read("submissions"), analysis.tokens(F.col(column))).select("term", "df")
 
     def suggest(self, text: str | None, limit: int = 5) -> list[str]:
@@ -160,6 +197,17 @@ class Engine:
     def tree(self, node: str, limit: int = 0) -> DataFrame:
         return ontology.children(self.onto, node, None, limit)
 
+    def hits(self, who=None) -> DataFrame:
+        """(id, hits): the visible rows that are tagged with each node or one below it."""
+        tagged = self._visible(who or search.Principal()).select(F.col("acc_no").alias("doc"), F.explode("efo_id").alias("id"))
+        return ontology.counts_with_descendants(tagged, ontology.closure(self.onto["edges"], self.onto["nodes"]))
+
+    def keywords_with_counts(self, text: str, limit: int = 20, who=None) -> list[str]:
+        return [r.line for r in ontology.autocomplete_counts(self.onto, text, self.hits(who), limit).collect()]
+
+    def tree_with_counts(self, node: str, limit: int = 0, who=None) -> DataFrame:
+        return ontology.children(self.onto, node, self.hits(who), limit)
+
 
 def files_matching(rows: DataFrame, text: str | None = None, columns: dict | None = None) -> DataFrame:
     """Files whose name or any attribute contains the text (a quoted text: the name has it as a phrase), and whose columns have the values."""

@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The words that indexing ignores.
 STOP_WORDS = "a,an,and,are,as,at,be,but,by,for,if,in,into,is,it,no,not,of,on,or,such,that,the,their,then,there,these,they,this,to,was,will,with".split(",")
-#: Letters that fold to one ASCII letter each, and those that fold to two.
-_PLAIN = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_FOLDED = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
-_DOUBLE = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "ł": "l", "Ł": "L"}
+
+
+def _bare(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+
+
+#: Latin letters (to U+024F, and U+1E00 to U+1EFF) that are one ASCII letter with marks, those letters, and the
+#: combining marks (U+0300 to U+036F), which go.  Queries and columns fold by the same tables.
+_PLAIN = "".join(c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if len(_bare(c)) == 1 and _bare(c).isascii())
+_FOLDED = "".join(map(_bare, _PLAIN))
+_MARKS = "".join(map(chr, range(0x300, 0x370)))
+#: Letters that aren't a letter with marks.
+_DOUBLE = {"ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "þ": "th", "Þ": "TH", "ħ": "h", "Ħ": "H", "ı": "i"}
 TOKENS = {
     "experiment": r"[\p{L}\p{Nd}-]+",
     "attribute": r"[^\s,;()]+",
@@ -21,12 +32,17 @@ TOKENS = {
 
 def fold(c: Column, extended: bool = True) -> Column:
     """Accented Latin letters without their accents; ``extended`` also spells out ligatures and sharp s."""
-    c = F.translate(c, _PLAIN, _FOLDED)
+    c = F.translate(c, _PLAIN + _MARKS, _FOLDED)
     for a, b in _DOUBLE.items() if extended else ():
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
 
 
+def folded(text: str) -> str:
+    """``fold`` of a query's text, on the driver."""
+    return text.translate({**{ord(a): b for a, b in zip(_PLAIN, _FOLDED, strict=True)}, **{ord(m): None for m in _MARKS}, **{ord(a): b for a, b in _DOUBLE.items()}})
+
+
 def tokens(c: Column, analyzer: str = "experiment", folded: bool = True, stops: list[str] | None = None) -> Column:
     """array<string> of a column's tokens; null for null.  ``keyword`` is the whole value."""
     if analyzer == "keyword":
@@ -55,8 +71,6 @@ def pattern(term: str) -> str:
 
 def normalise(text: str | None) -> str:
     """For matching with an ontology: compatibility forms without marks, lower case, single spaces for all but letters and digits."""
-    import unicodedata
-
     text = unicodedata.normalize("NFKD", text or "")
     kept = "".join(" " if not (c.isalnum()) else c for c in "".join(c for c in text if not unicodedata.category(c).startswith("M")).lower())
     return " ".join(kept.split())

@@ -61,6 +61,74 @@ def closure(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 64)
     return known.unionByName(nodes.select(F.col("id").alias("ancestor"), F.col("id").alias("descendant"))) if nodes is not None else known
 
 
+def index_rows(onto: dict[str, DataFrame], root: str) -> DataFrame:
+    """(id, term, own): the root and all below it, each with its own term and its alternative ones; a term that several nodes have, in any case, is the smallest id's."""
+    held = closure(onto["edges"]).where(F.col("ancestor") == root).select(F.col("descendant").alias("id")).unionByName(onto["nodes"].where(F.col("id") == root).select("id")).distinct()
+    own = onto["nodes"].where("term is not null").withColumn("_k", F.lower("term")).join(held, "id", "left_semi")
+    first = own.groupBy("_k").agg(F.min("id").alias("id"))
+    rows = own.join(first, ["_k", "id"], "left_semi").select("id", "term")
+    alt = onto["alt"].join(rows, "id", "left_semi").select("id", F.col("synonym").alias("term"))
+    return rows.withColumn("own", F.lit(True)).unionByName(alt.withColumn("own", F.lit(False))).distinct()
+
+
+def resolved(onto: dict[str, DataFrame], flags: int) -> DataFrame:
+    """(id, term) that the flags select: SELF and ALT of the node, CHILD and PART_OF all nodes below it that way, with CHILD_ALT (or ALT) their alternative terms too."""
+    own = onto["nodes"].where("term is not null").select("id", "term")
+    alt = onto["alt"].select("id", F.col("synonym").alias("term"))
+    out = own.limit(0)
+    for flag, some in ((SELF, own), (ALT, alt)):
+        out = out.unionByName(some) if flags & flag else out
+    ways = [onto[n] for flag, n in ((CHILD, "edges"), (PART_OF, "part_of")) if flags & flag]
+    if ways:
+        under = closure(ways[0] if len(ways) == 1 else ways[0].unionByName(ways[1]))
+        names = own.unionByName(alt) if flags & (ALT | CHILD_ALT) else own
+        out = out.unionByName(under.join(names.withColumnRenamed("id", "descendant"), "descendant").select(F.col("ancestor").alias("id"), "term"))
+    return out.distinct()
+
+
+def term_index(onto: dict[str, DataFrame]) -> DataFrame:
+    """(key, id, own): one node for each lower-case term; own terms come before alternative ones, then the smallest id."""
+    names = onto["nodes"].where("term is not null").select(F.lower("term").alias("key"), F.struct(F.lit(0).alias("later"), "id").alias("x"))
+    names = names.unionByName(onto["alt"].where("synonym is not null").select(F.lower("synonym").alias("key"), F.struct(F.lit(1).alias("later"), "id").alias("x")))
+    return names.groupBy("key").agg(F.min("x").alias("x")).select("key", F.col("x.id").alias("id"), (F.col("x.later") == 0).alias("own"))
+
+
+def ancestor_chains(onto: dict[str, DataFrame], rounds: int = 32) -> DataFrame:
+    """(id, chain): each node and its ancestors by the smallest parent, the node last.  Chains double each round; a cycle is cut where it closes."""
+    first = onto["edges"].where("child <> parent").groupBy("child").agg(F.min("parent").alias("up"))
+    rows = onto["nodes"].select("id").distinct().join(first, F.col("id") == F.col("child"), "left").select("id", "up", F.array("id").alias("chain"))
+    for _ in range(rounds):
+        if not rows.where("up is not null").limit(1).count():
+            break
+        higher = rows.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("chain").alias("above"))
+        longer = rows.join(higher, "up", "left")
+        closed = F.arrays_overlap("above", "chain")
+        above = F.coalesce(F.array_except("above", "chain"), F.array().cast("array<string>"))
+        rows = longer.select("id", F.when(closed, None).otherwise(F.col("next")).alias("up"), F.concat(above, "chain").alias("chain")).cache()
+    return rows.select("id", "chain")
+
+
+def ancestors(onto: dict[str, DataFrame], node: str) -> DataFrame:
+    """(id, term) of all nodes above one, given by its id or, in any case, by a term."""
+    at = onto["nodes"].where((F.col("id") == node) | (F.lower("term") == node.lower())).select(F.col("id").alias("descendant"))
+    return closure(onto["edges"]).join(at, "descendant", "left_semi").select(F.col("ancestor").alias("id")).distinct().join(onto["nodes"].select("id", "term"), "id")
+
+
+def exact_counts(tagged: DataFrame) -> DataFrame:
+    """(id, hits): distinct rows tagged (doc, id) with the node itself."""
+    return tagged.groupBy("id").agg(F.count_distinct("doc").alias("hits"))
+
+
+def autocomplete_counts(onto: dict[str, DataFrame], query: str, hits: DataFrame, limit: int = 20) -> DataFrame:
+    """(line): ``term|o|id|hits`` of matching terms that occur, by name; the id only where a child occurs too."""
+    like = analysis.pattern(query if "*" in query else query + "*")
+    here = hits.where("hits > 0")
+    inner = onto["edges"].join(here.select(F.col("id").alias("child")), "child", "left_semi").select(F.col("parent").alias("id")).distinct().withColumn("inner", F.lit(True))
+    rows = onto["nodes"].where(F.lower("term").rlike(like)).join(here, "id").join(inner, "id", "left")
+    line = F.concat_ws("|", "term", F.lit("o"), F.when(F.col("inner"), F.col("id")).otherwise(F.lit("")), F.col("hits").cast("string"))
+    return rows.orderBy("term", "id").limit(min(limit, AUTOCOMPLETE_LIMIT)).select(line.alias("line"))
+
+
 def counts_with_descendants(tagged: DataFrame, below: DataFrame) -> DataFrame:
     """(id, hits): distinct rows tagged (doc, id) with a node or one below it."""
     return tagged.join(below, tagged["id"] == below["descendant"]).groupBy(F.col("ancestor").alias("id")).agg(F.count_distinct("doc").alias("hits"))
@@ -154,7 +222,8 @@ def suggestions(dictionary: DataFrame, query: str, limit: int = 5, edits: int =
     if len(q) < least:
         return dictionary.limit(0).select("term", F.lit(0.0).alias("similarity"), "df")
     d = F.levenshtein(F.col("term"), F.lit(q), edits)
-    near = dictionary.where(F.startswith("term", F.lit(q[:prefix])) & (F.abs(F.length("term") - len(q)) <= edits)).withColumn("d", d).where("d > 0")
+    have = dictionary.where(F.col("term") == q).limit(1).select(F.col("term").alias("_q"))  # one row at most
+    near = dictionary.withColumn("_q", F.lit(q)).join(F.broadcast(have), "_q", "left_anti").where(F.startswith("term", F.lit(q[:prefix])) & (F.abs(F.length("term") - len(q)) <= edits)).withColumn("d", d).where("d > 0")
     like = 1 - F.col("d") / F.greatest(F.length("term"), F.lit(len(q)))
     return near.select("term", F.round(like, 6).alias("similarity"), "df").where(F.col("similarity") >= accuracy).orderBy(F.col("similarity").desc(), F.col("df").desc(), "term").limit(limit)
 

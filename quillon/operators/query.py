@@ -252,12 +252,12 @@ def _leaf(t, name: str, fields: Fields) -> Column:
         return column == _number(t.text, name)
     own = token_column(name, fields)
     if t.kind == "prefix":
-        return F.exists(own, lambda x: x.startswith(t.text.lower()))
+        return F.exists(own, lambda x: x.startswith(analysis.folded(t.text).lower()))
     if t.kind == "wildcard":
-        return F.exists(own, lambda x: x.rlike(analysis.pattern(t.text)))
+        return F.exists(own, lambda x: x.rlike(analysis.pattern(analysis.folded(t.text))))
     words = analyzed(t.text, fields.analyzers.get(name, "attribute"))
     if t.kind == "fuzzy":
-        return F.exists(own, lambda x: F.levenshtein(x, F.lit(t.text.lower()), t.edits) >= 0)
+        return F.exists(own, lambda x: F.levenshtein(x, F.lit(analysis.folded(t.text).lower()), t.edits) >= 0)
     if not words:
         return F.lit(False)
     if len(words) == 1:
@@ -272,13 +272,11 @@ def token_column(name: str, fields: Fields) -> Column:
 
 
 def analyzed(text: str, analyzer: str) -> list[str]:
-    """What the column expressions make of a query's text, on the driver."""
-    import unicodedata
+    """What the column expressions make of a query's text, on the driver: the same folding and the same token pattern."""
+    import regex
 
     if analyzer == "keyword":
         return [text]
-    folded = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)).lower()
-    found = {"experiment": r"[^\W_]+(?:-+[^\W_]+)*|-+[\w-]*", "attribute": r"[^\s,;()]+", "access": r"(?:[^\W]|[@.~#-])+", "tokens": r"[^\W_](?:[^\W_]|-)*", "letters": r"[^\W\d_]+"}[analyzer]
-    if analyzer in ("experiment", "tokens"):
-        found = r"(?:[^\W_]|-)+"
-    return [w for w in re.findall(found, folded) if w not in analysis.STOP_WORDS]
+    pattern = analysis.TOKENS["experiment" if analyzer == "tokens" else analyzer]
+    text = text if analyzer == "letters" else analysis.folded(text)
+    return [w for w in regex.findall(pattern, text.lower()) if analyzer == "letters" or w not in analysis.STOP_WORDS]

@@ -72,26 +72,29 @@ def drilled(selected: dict[str, list[str]], known: dict[str, bool]) -> Column:
     return out
 
 
-def postings(documents: DataFrame, doc: str, tokens: Column) -> DataFrame:
-    """(term, doc, tf, len): counted inside the row, so nothing is shuffled; empty rows have none."""
-    base = documents.select(F.col(doc).alias("doc"), tokens.alias("t")).withColumn("len", F.size("t").cast("long"))
-    return base.select("doc", "len", F.explode("t").alias("term")).groupBy("doc", "term").agg(F.first("len").alias("len"), F.count("*").alias("tf"))
+def index_statistics(documents: DataFrame, tokens: Column) -> DataFrame:
+    """One row: n, the rows that have tokens, and avg, their mean number."""
+    return documents.select(F.size(tokens).cast("double").alias("len")).where("len >= 0").agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
 
 
-def bm25(documents: DataFrame, doc: str, tokens: Column, terms: list[str]) -> DataFrame:
+def bm25(documents: DataFrame, doc: str, tokens: Column, terms: list[str], known: tuple[int, float, dict[str, int]] | None = None) -> DataFrame:
     """(doc, score) of rows with any of the terms.
 
-    Term frequencies are counted by array functions in the scan; the statistics are one aggregate
-    over all rows (one row to the driver-side plan, broadcast as a scalar), so the query shuffles
-    partial sums alone.
+    ``known``: rows, mean length and rows by term of the whole index, as a commit keeps them; then ``documents``
+    may be any part of it, and is read once.  Without it, the statistics are those of ``documents``:
+    one aggregate of partial sums, one row that is broadcast.  Term frequencies are counted by array functions in the scan.
     """
     terms = list(dict.fromkeys(terms))
-    base = documents.select(F.col(doc).alias("doc"), tokens.alias("t"))
+    base = documents.select(F.col(doc).alias("doc"), tokens.alias("t")).where("t is not null")
     tf = lambda i: F.size(F.filter("t", lambda x: x == terms[i])).cast("double").alias(f"tf{i}")
     base = base.select("doc", F.size("t").cast("double").alias("len"), *(tf(i) for i in range(len(terms))))
-    stats = base.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *(F.sum(F.when(F.col(f"tf{i}") > 0, 1.0).otherwise(0.0)).alias(f"df{i}") for i in range(len(terms))))
     hit = F.greatest(*(F.col(f"tf{i}") for i in range(len(terms))), F.lit(0.0)) > 0
-    both = base.where(hit).join(F.broadcast(stats))  # one row
+    if known is None:
+        stats = base.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *(F.sum(F.when(F.col(f"tf{i}") > 0, 1.0).otherwise(0.0)).alias(f"df{i}") for i in range(len(terms))))
+        both = base.where(hit).join(F.broadcast(stats))  # one row
+    else:
+        n, avg, df = known
+        both = base.where(hit).select("*", F.lit(float(n)).alias("n"), F.lit(float(avg or 1.0)).alias("avg"), *(F.lit(float(df.get(t, 0))).alias(f"df{i}") for i, t in enumerate(terms)))
     part = lambda i: F.when(F.col(f"tf{i}") > 0, F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("len") / F.col("avg")))).otherwise(0.0)
     score = part(0)
     for i in range(1, len(terms)):

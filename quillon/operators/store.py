@@ -38,24 +38,24 @@ class Store:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def state(self) -> dict:
-        """{tables: {name: directory}, time, batch}; empty before the first commit."""
+        """{tables: {name: directory}, time, batches: {stream: last batch}}; empty before the first commit."""
         fs, p = self._fs(f"{self.root}/current.json")
         if not fs.exists(p):
-            return {"tables": {}, "time": None, "batch": None}
+            return {"tables": {}, "time": None, "batches": {}}
         return json.loads(self.spark.read.text(p.toString(), wholetext=True).first()[0])
 
     def read(self, name: str) -> DataFrame | None:
         at = self.state()["tables"].get(name)
         return self.spark.read.parquet(f"{self.root}/{at}") if at else None
 
-    def commit(self, tables: dict[str, DataFrame], batch: int | None = None) -> dict:
-        """All tables or none: the pointer moves when every directory is complete."""
+    def commit(self, tables: dict[str, DataFrame], batch: tuple[str, int] | None = None) -> dict:
+        """All tables or none: the pointer moves when every directory is complete.  ``batch``: the stream's name and its batch's number."""
         state = self.state()
         for name, df in tables.items():
             at = f"{name}/v-{uuid.uuid4().hex}"
             df.write.parquet(f"{self.root}/{at}")
             state["tables"][name] = at
-        state |= {"time": time.time(), "batch": batch if batch is not None else state["batch"]}
+        state |= {"time": time.time(), "batches": {**state.get("batches", {}), **dict([batch] if batch else [])}}
         fs, new = self._fs(f"{self.root}/next-{uuid.uuid4().hex}.json")
         out = fs.create(new, True)
         out.write(bytearray(json.dumps(state).encode()))
@@ -68,7 +68,7 @@ class Store:
         context.rename(new, pointer, option)
         return state
 
-    def upsert(self, name: str, new: DataFrame, key: list[str], batch: int | None = None) -> dict:
+    def upsert(self, name: str, new: DataFrame, key: list[str], batch: tuple[str, int] | None = None) -> dict:
         old = self.read(name)
         return self.commit({name: new if old is None else upserted(old, new, key)}, batch)
 
@@ -76,6 +76,17 @@ class Store:
         """Deletes the keys from several tables at once."""
         return self.commit({n: deleted(df, gone, k) for n, k in keys.items() if (df := self.read(n)) is not None})
 
+    def vacuum(self, older: float = 3600.0) -> int:
+        """Removes the directories that no table points to and that are older than so many seconds; readers that began before need theirs.  How many went."""
+        state, gone = self.state(), 0
+        for name in sorted({at.split("/")[0] for at in state["tables"].values()}):
+            fs, p = self._fs(f"{self.root}/{name}")
+            for s in fs.listStatus(p):
+                at = f"{name}/{s.getPath().getName()}"
+                if at != state["tables"].get(name) and s.getModificationTime() < (time.time() - older) * 1000:
+                    gone += bool(fs.delete(s.getPath(), True))
+        return gone
+
     def statistics(self) -> list[dict]:
         """name, directory, bytes, rows and time of the last commit of each table."""
         state, out = self.state(), []

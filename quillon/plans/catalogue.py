@@ -83,6 +83,15 @@ def bm25_two_term_all(spark, sf):
     return search.bm25(_docs(spark, sf), "doc_id", _tokens(), ["from", "idiot"]).select(F.col("doc").alias("doc_id"), F.round("score", 4).alias("score"))
 
 
+@register(_BM25.replace("SELECT doc_id, len(t)", "SELECT doc_id, lang, len(t)").replace("WHERE a > 0 OR b > 0", "WHERE (a > 0 OR b > 0) AND lang = 'en'"))
+def bm25_under_a_filter(spark, sf):
+    """The rows of one language, ranked by the statistics of all rows, as the engine does with those that a commit keeps."""
+    docs, words = _docs(spark, sf), ["from", "idiot"]
+    counted = {r.term: r.df for r in term_statistics(docs, _tokens()).where(F.col("term").isin(words)).collect()}
+    n, avg = search.index_statistics(docs, _tokens()).first()
+    return search.bm25(docs.where("lang = 'en'"), "doc_id", _tokens(), words, (n, avg, counted)).select(F.col("doc").alias("doc_id"), F.round("score", 4).alias("score"))
+
+
 # analysis
 
 
@@ -110,6 +119,27 @@ def stopword_removed_counts(spark, sf):
     return _docs(spark, sf).select("doc_id", F.size(_tokens()).cast("long").alias("kept"), F.size(analysis.tokens(F.col("text"), folded=False, stops=[])).cast("long").alias("every"))
 
 
+@register("SELECT doc_id, sha256(strip_accents(replace(replace(text, 'ß', 'ss'), 'ł', 'l'))) AS folded FROM documents")
+def extended_folding(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.sha2(analysis.fold(F.col("text")), 256).alias("folded"))
+
+
+def _folded_word(name: str, word: str) -> None:
+    """Documents with a word beyond Latin-1 appended to some; the SQL names the folded word itself."""
+    asked, plain = word.split("=")
+
+    def f(spark, sf):
+        docs = _docs(spark, sf).select("doc_id", F.when(F.col("n_chars") % 3 == 0, F.concat("text", F.lit(f" {asked}"))).otherwise(F.col("text")).alias("text"))
+        return docs.where(query.predicate(query.parse(asked.upper() if asked.upper() != asked and "ß" not in asked else asked, FIELDS), FIELDS)).select("doc_id")
+
+    f.__name__ = name
+    register(f"SELECT doc_id FROM documents WHERE n_chars % 3 = 0 OR list_contains(regexp_split_to_array(lower(text), '[^a-z0-9-]+'), '{plain}')")(f)
+
+
+for _name, _word in {"folded_sharp_s": "straße=strasse", "folded_caron": "šefkuchyně=sefkuchyne", "folded_stroke": "łódźxx=lodzxx", "folded_ligature": "ærøskøbing=aeroskobing"}.items():
+    _folded_word(_name, _word)
+
+
 @register("SELECT doc_id, sha256(strip_accents(replace(text, 'ß', ''))) AS folded FROM documents")
 def accent_folded_terms(spark, sf):
     return _docs(spark, sf).select("doc_id", F.sha2(analysis.fold(F.replace("text", F.lit("ß"), F.lit("")), extended=False), 256).alias("folded"))
@@ -349,7 +379,7 @@ def onto_descendant_distinct_counts(spark, sf):
 
 @register(_TAGS + "SELECT id, count(DISTINCT doc) AS hits FROM g GROUP BY 1")
 def onto_exact_counts(spark, sf):
-    return _tags(spark, sf).groupBy("id").agg(F.count_distinct("doc").alias("hits"))
+    return ontology.exact_counts(_tags(spark, sf))
 
 
 @register(_TAGS + "SELECT 'r' || r_regionkey AS id, r_name AS term, EXISTS (FROM e WHERE parent = 'r' || r_regionkey) AS has_children, hits FROM region JOIN h ON h.id = 'r' || r_regionkey WHERE hits > 0")
@@ -360,10 +390,32 @@ def onto_children_with_counts(spark, sf):
 @register("SELECT 'n' || n_nationkey AS id, 'world/' || r_name || '/' || n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey")
 def onto_ancestor_path(spark, sf):
     world = _world(spark, sf)
-    first = world["edges"].groupBy("child").agg(F.min("parent").alias("parent"))
-    name = world["nodes"].select("id", "term")
-    n = name.where(F.col("id").startswith("n")).join(first, F.col("id") == F.col("child")).join(name.select(F.col("id").alias("parent"), F.col("term").alias("p")), "parent")
-    return n.select("id", F.concat_ws("/", F.lit("world"), "p", "term").alias("path"))
+    chains = ontology.ancestor_chains(world).where(F.col("id").startswith("n"))
+    steps = chains.select("id", F.posexplode("chain").alias("at", "step")).join(world["nodes"].select(F.col("id").alias("step"), F.when(F.col("id") == "world", "world").otherwise(F.col("term")).alias("term")), "step")
+    return steps.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "term"))).alias("x")).select("id", F.array_join(F.col("x.term"), "/").alias("path"))
+
+
+_NAMES = ", t AS (SELECT 'n' || n_nationkey AS id, n_name AS term, true AS own FROM nation UNION ALL SELECT 'r' || r_regionkey, r_name, true FROM region UNION ALL SELECT 's' || s_suppkey, s_name, true FROM supplier UNION ALL SELECT 'world', 'World', true UNION ALL SELECT 'n' || n_nationkey, 'Land ' || n_name, false FROM nation) "
+
+
+@register(_TAGS + _NAMES + "SELECT id, term, own FROM t WHERE id IN (SELECT descendant FROM kk WHERE ancestor = 'world')")
+def onto_index_rows(spark, sf):
+    return ontology.index_rows(_world(spark, sf), "world")
+
+
+@register(_TAGS + _NAMES + "SELECT DISTINCT ancestor AS id, term FROM kk JOIN t ON t.id = descendant WHERE own OR ancestor <> descendant")
+def onto_resolved_terms(spark, sf):
+    return ontology.resolved(_world(spark, sf), ontology.SELF | ontology.CHILD | ontology.CHILD_ALT | ontology.PART_OF)
+
+
+@register(_TAGS + _NAMES + "SELECT lower(term) AS key, min_by(id, (NOT own)::INT::VARCHAR || id) AS id, bool_or(own) AS own FROM t GROUP BY 1")
+def onto_term_index(spark, sf):
+    return ontology.term_index(_world(spark, sf))
+
+
+@register(_TAGS + _NAMES + "SELECT t.id, t.term FROM t JOIN k ON k.ancestor = t.id WHERE own AND k.descendant = 's1'")
+def onto_ancestors(spark, sf):
+    return ontology.ancestors(_world(spark, sf), "s1")
 
 
 @register("SELECT 'n' || n_nationkey AS id, [lower(n_name), lower('Land ' || n_name)] .list_sort() .array_to_string('|') AS keys, coalesce((SELECT string_agg(s_name, '|' ORDER BY s_name) FROM supplier WHERE s_nationkey = n_nationkey), '') AS descendants FROM nation UNION ALL SELECT 'r' || r_regionkey, lower(r_name), (SELECT string_agg(x, '|' ORDER BY x) FROM (SELECT n_name AS x FROM nation WHERE n_regionkey = r_regionkey UNION SELECT s_name FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_regionkey = r_regionkey)) FROM region")
@@ -406,10 +458,12 @@ def autocomplete_with_alt_fallback(spark, sf):
     return ontology.autocomplete(world["nodes"], world["alt"].select(F.col("synonym").alias("term")), "land", 10)
 
 
-@register(_TAGS + "SELECT n_name || '|o|' || h.id || '|' || hits AS line FROM nation JOIN h ON h.id = 'n' || n_nationkey WHERE lower(n_name) LIKE 'nation%' AND hits > 0")
+_CHILD_HITS = "EXISTS (FROM e JOIN h c ON c.id = e.child WHERE e.parent = h.id AND c.hits > 0)"
+
+
+@register(_TAGS + f"SELECT x.term || '|o|' || CASE WHEN {_CHILD_HITS} THEN h.id ELSE '' END || '|' || hits AS line FROM (SELECT 'n' || n_nationkey AS id, n_name AS term FROM nation UNION ALL SELECT 'r' || r_regionkey, r_name FROM region UNION ALL SELECT 'world', 'World') x JOIN h USING (id) WHERE hits > 0")
 def autocomplete_counts(spark, sf):
-    world = _world(spark, sf)
-    return world["nodes"].where(F.lower("term").rlike(analysis.pattern("nation*"))).join(_hits(spark, sf), "id").where("hits > 0").select(F.concat_ws("|", "term", F.lit("o"), "id", F.col("hits").cast("string")).alias("line"))
+    return ontology.autocomplete_counts(_world(spark, sf), "*", _hits(spark, sf), 200)
 
 
 @register(_D + ", p AS (SELECT doc_id, unnest(t) AS term FROM d) SELECT term, count(DISTINCT doc_id) AS df FROM p WHERE length(term) >= 4 AND term NOT IN (SELECT lower(n_name) FROM nation) GROUP BY 1 HAVING count(DISTINCT doc_id) >= 10")
@@ -423,6 +477,12 @@ def spell_suggest(spark, sf):
     return ontology.suggestions(term_statistics(_docs(spark, sf), _tokens()), "licensf")
 
 
+@register("SELECT '' AS term, 0.0::DOUBLE AS similarity, 0::BIGINT AS df WHERE false")
+def spell_known_word(spark, sf):
+    """A word that the dictionary has gets no suggestions."""
+    return ontology.suggestions(term_statistics(_docs(spark, sf), _tokens()), "license")
+
+
 @register("SELECT p_name, regexp_matches('S-' || upper(p_name[1:3]) || p_partkey, '^[A-Z]-[A-Z]+[-\\d].*|^[A-Z]{3,}\\d+.*') AS shaped FROM part")
 def accession_shape_regex(spark, sf):
     code = F.concat(F.lit("S-"), F.upper(F.substring("p_name", 1, 3)), F.col("p_partkey").cast("string"))
@@ -565,6 +625,16 @@ def view_count_left_join_default0(spark, sf):
     return _docs(spark, sf).select("doc_id").join(v, "doc_id", "left").select("doc_id", F.coalesce("views", F.lit(0)).alias("views"))
 
 
+def _shared(spark) -> str:
+    """The shared folder that the cluster names; one of our own only where none is set and all is one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "/tmp/checkpoints"
+    return shared.rstrip("/")
+
+
 @register("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'error'")
 def upsert_latest_wins(spark, sf):
     e = _t(spark, sf, "events").select("user_id", "event_id", "event_type", "ts")
@@ -607,15 +677,29 @@ def stream_upsert(spark, sf):
     from quillon.operators.store import Store
     from quillon.streaming import updates
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = "/tmp/checkpoints"
-    root = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
     path = f"{sf}/events.parquet"
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet").select("user_id", "event_id", "event_type", "ts")
     store = Store(spark, f"{root}/tables")
     updates.start(stream, store, "state", ["user_id"], ["ts", "event_id"], "event_type = 'error'", f"{root}/progress", every=None).awaitTermination()
     return store.read("state").select("user_id", "event_id", "event_type")
+
+
+@register("WITH l AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) SELECT user_id, event_id FROM l WHERE r = 1 AND event_type <> 'error'")
+def stream_late_changes(spark, sf):
+    """The last changes come first and all changes, in which they are again, later: nothing that was deleted comes back; a batch of another stream counts for its own."""
+    import uuid
+
+    from quillon.operators.store import Store
+    from quillon.streaming import updates
+
+    events = _t(spark, sf, "events").select("user_id", "event_id", "event_type", "ts")
+    store = Store(spark, f"{_shared(spark)}/late-{uuid.uuid4().hex}")
+    rules = (["user_id"], ["ts", "event_id"], "event_type = 'error'")
+    first, second = updates.apply_batch(store, "state", *rules, name="first"), updates.apply_batch(store, "state", *rules, name="second")
+    first(latest(events, rules[0], rules[1]), 0)
+    first(events.limit(0), 0)
+    second(events.where(F.col("event_id") % 2 == 0), 0)
+    second(events.where(F.col("event_id") % 2 == 1), 1)
+    return store.read("state").select("user_id", "event_id")
