@@ -6,9 +6,13 @@ suffixes of the corpus isn't needed for that:
 1. Anchors.  In each string of ``length`` bytes, the leftmost smallest hash of a GRAM-byte gram is
    its anchor, so equal strings have equal anchors at the same place.  Neighbouring strings share
    anchors; a run of strings with one anchor is one entry.  Entries are exchanged by anchor hash,
-   and those that stand alone (nearly all of a clean corpus) can't repeat.
+   and those that stand alone (nearly all of a clean corpus) can't repeat.  Where an anchor stands in more than
+   HOT places, the grams that are frequent around it are hot: anchors are chosen anew, and a hot gram is one only
+   where a string has no other.  So the strings that reach out of a passage that very many texts share
+   go by what is around it, to many tasks, and those inside it are equal in all of these texts.
 2. Contexts.  What is left is exchanged once more with its bytes: a run and the length - 1 bytes that
-   follow.  A context that occurs more than once is repeated as a whole.
+   follow.  A context that occurs more than once is repeated as a whole; of those that do in one block, two go on
+   and the others' spans are final.
 3. Pieces.  A SYMBOL-byte string that no other context of the anchor has in the same place can't be
    in a repeat, so it ends the strings: what is left are pieces.  Equal pieces are one, repeated as a
    whole.  A passage that many texts share around different borders comes down to one piece here.
@@ -42,19 +46,38 @@ SYMBOL = 40
 #: Broadcast only up to so many rows and bytes; beyond, the join is a shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 CHUNK = 1 << 20
+#: Places of an anchor beyond which it is hot, at least; and so many anchors are hot at most (which bounds their broadcast).
+HOT, HOT_ANCHORS = 2048, 20_000
+#: Grams that are hot at most (8 bytes each).
+HOT_GRAMS = 4_000_000
+#: A gram is counted as frequent by a task that has met it so often around hot anchors.
+OFTEN = 8
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(row, first, last, anchor, anchor hash) of the maximal runs of string starts with one anchor."""
+def grams(data: np.ndarray, gram: int) -> np.ndarray:
+    """The hash of the gram at each byte."""
+    n = len(data)
+    c = B.prefix_hash(data)
+    _, q = B.powers(n + 1)
+    return B.mix((c[gram:] - c[: n - gram + 1]) * q[: n - gram + 1])
+
+
+def within(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which hashes are among the known ones, which are sorted."""
+    if not len(known):
+        return np.zeros(len(h), bool)
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+
+
+def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, hot: np.ndarray = np.zeros(0, B.U64)) -> tuple[np.ndarray, ...]:
+    """(row, first, last, anchor, anchor hash) of the maximal runs of string starts with one anchor; ``hot`` grams come last."""
     n, w = len(data), length - gram + 1
     none = np.zeros(0, np.int64)
     if n < length:
         return none, none, none, none, np.zeros(0, B.U64)
-    c = B.prefix_hash(data)
-    _, q = B.powers(n + 1)
-    h = B.mix((c[gram:] - c[: n - gram + 1]) * q[: n - gram + 1])
+    h = grams(data, gram)
     bits = B.U64(int(n).bit_length())
-    key = (h >> bits << bits) | np.arange(len(h), dtype=B.U64)
+    key = ((h >> B.U64(1) | within(h, hot).astype(B.U64) << B.U64(63)) >> bits << bits) | np.arange(len(h), dtype=B.U64)
     padded = np.full(-(-len(key) // w) * w, np.iinfo(B.U64).max, B.U64)
     padded[: len(key)] = key
     table = padded.reshape(-1, w)
@@ -79,7 +102,17 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple
     return row, first, last, a[head], h[a[head]]
 
 
-def _anchors(parts: int, length: int, gram: int):
+def _parted(h: np.ndarray, parts: int) -> np.ndarray:
+    """Anchors have the smallest hashes of many, so they are mixed once more before they are dealt."""
+    return ((B.mix(h + B.U64(1)) >> B.U64(32)) * B.U64(parts) >> B.U64(32)).astype(np.int64)
+
+
+def _short(h: np.ndarray, parts: int) -> np.ndarray:
+    """What blobs tell of an anchor: its partition and 32 bits of its hash."""
+    return _parted(h, parts).astype(B.U64) << B.U64(32) | h & B.U64(0xFFFFFFFF)
+
+
+def _anchors(parts: int, length: int, gram: int, hot):
     """(doc_id, key, text) -> a row (part -1) for each text, and blobs of its anchors for each partition."""
 
     def run(batches):
@@ -87,11 +120,11 @@ def _anchors(parts: int, length: int, gram: int):
             ids, keys = batch.column(0), batch.column(1).to_numpy()
             for a, b, data, offsets in B.blocks(batch.column(2), 3 << 19):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, -1, np.int32)), ids.slice(a, b - a), pa.array(keys[a:b]), pa.array(np.diff(offsets)), pa.nulls(b - a, pa.binary())], names=["part", "doc_id", "key", "n", "blob"])
-                row, _, _, anchor, h = runs(data, offsets, length, gram)
+                row, _, _, anchor, h = runs(data, offsets, length, gram, hot.value)
                 if not len(row):
                     continue
                 key = keys[a:b]
-                part = ((h >> B.U64(32)) * B.U64(parts) >> B.U64(32)).astype(np.int64)
+                part = _parted(h, parts)
                 order = np.argsort(part, kind="stable")
                 part, row, h, local = part[order], row[order], h[order], (anchor - offsets[row])[order]
                 bounds = np.searchsorted(part, np.arange(parts + 1))
@@ -106,75 +139,126 @@ def _anchors(parts: int, length: int, gram: int):
     return run
 
 
-def _repeated_anchors(batches):
-    """Blobs of a partition -> (key, positions): the anchors that occur at another place too."""
-    hs, keys, at = [], [], []
-    for batch in batches:
-        for p, blob in zip(batch.column(0).to_numpy(), batch.column(1), strict=True):
-            raw = blob.as_buffer()
-            count = int(np.frombuffer(raw, np.uint32, 1)[0])
-            base = 4 + 8 * count
-            n = (raw.size - base) // 10
-            hs.append(np.frombuffer(raw, np.uint32, n, base).astype(B.U64) | (B.U64(int(p)) << B.U64(32)))
-            at.append(np.frombuffer(raw, np.uint32, n, base + 4 * n))
-            keys.append(np.frombuffer(raw, np.int64, count, 4)[np.frombuffer(raw, np.uint16, n, base + 8 * n)])
-    if not hs:
-        return
-    h, key, pos = np.concatenate(hs), np.concatenate(keys), np.concatenate(at)
-    order = np.argsort(h, kind="stable")
-    h, key, pos = h[order], key[order], pos[order]
-    same = h[1:] == h[:-1]
-    twin = np.zeros(len(h), bool)
-    twin[1:] |= same
-    twin[:-1] |= same
-    h, key, pos = h[twin], key[twin], pos[twin]
-    if not len(h):
-        return
-    order = np.lexsort((pos, key, h))
-    h, key, pos = h[order], key[order], pos[order]
-    fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (key[1:] != key[:-1]) | (pos[1:] != pos[:-1])))
-    h, key, pos = h[fresh], key[fresh], pos[fresh]
-    same = h[1:] == h[:-1]
-    twin = np.zeros(len(h), bool)
-    twin[1:] |= same
-    twin[:-1] |= same
-    key, pos = key[twin], pos[twin]
-    order = np.argsort(key, kind="stable")
-    key, pos = key[order], pos[order]
-    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    tail = np.append(head[1:], len(key))
-    for i in range(0, len(head), 10_000):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key[head[i : i + 10_000]]), pa.array([pos[s:e].astype(np.uint32).tobytes() for s, e in zip(head[i : i + 10_000], tail[i : i + 10_000], strict=True)], pa.binary())], names=["key", "at"]
-        )
-
-
-def _contexts(parts: int, length: int, gram: int):
-    """(key, text, flags) -> for each block and partition one blob with the contexts of flagged anchors."""
+def _repeated_anchors(most: int):
+    """Blobs of a partition -> (key, positions) of the anchors that occur at another place too; and (anchor, times) of those that stand in more than ``most`` places."""
+
+    def run(batches):
+        hs, keys, at = [], [], []
+        for batch in batches:
+            for p, blob in zip(batch.column(0).to_numpy(), batch.column(1), strict=True):
+                raw = blob.as_buffer()
+                count = int(np.frombuffer(raw, np.uint32, 1)[0])
+                base = 4 + 8 * count
+                n = (raw.size - base) // 10
+                hs.append(np.frombuffer(raw, np.uint32, n, base).astype(B.U64) | (B.U64(int(p)) << B.U64(32)))
+                at.append(np.frombuffer(raw, np.uint32, n, base + 4 * n))
+                keys.append(np.frombuffer(raw, np.int64, count, 4)[np.frombuffer(raw, np.uint16, n, base + 8 * n)])
+        if not hs:
+            return
+        h, key, pos = np.concatenate(hs), np.concatenate(keys), np.concatenate(at)
+        order = np.argsort(h, kind="stable")
+        h, key, pos = h[order], key[order], pos[order]
+        same = h[1:] == h[:-1]
+        twin = np.zeros(len(h), bool)
+        twin[1:] |= same
+        twin[:-1] |= same
+        h, key, pos = h[twin], key[twin], pos[twin]
+        if not len(h):
+            return
+        order = np.lexsort((pos, key, h))
+        h, key, pos = h[order], key[order], pos[order]
+        fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (key[1:] != key[:-1]) | (pos[1:] != pos[:-1])))
+        h, key, pos = h[fresh], key[fresh], pos[fresh]
+        same = h[1:] == h[:-1]
+        twin = np.zeros(len(h), bool)
+        twin[1:] |= same
+        twin[:-1] |= same
+        h, key, pos = h[twin], key[twin], pos[twin]
+        which, times = np.unique(h, return_counts=True)
+        which, times = which[times > most], times[times > most]
+        for i in range(0, len(which), 10_000):
+            k = len(which[i : i + 10_000])
+            yield pa.RecordBatch.from_arrays([pa.array(which[i : i + k].view(np.int64)), pa.nulls(k, pa.binary()), pa.array(times[i : i + k].astype(np.int64))], names=["key", "at", "times"])
+        order = np.argsort(key, kind="stable")
+        key, pos = key[order], pos[order]
+        head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        tail = np.append(head[1:], len(key))
+        for i in range(0, len(head), 10_000):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[head[i : i + 10_000]]), pa.array([pos[s:e].astype(np.uint32).tobytes() for s, e in zip(head[i : i + 10_000], tail[i : i + 10_000], strict=True)], pa.binary()), pa.nulls(len(head[i : i + 10_000]), pa.int64())], names=["key", "at", "times"]
+            )
+
+    return run
+
+
+def _frequent(parts: int, length: int, gram: int, anchors, least: int):
+    """texts -> (gram, n): the grams that a task has met ``least`` times or more around the hot anchors."""
+
+    def run(batches):
+        known, many, new = np.zeros(0, B.U64), np.zeros(0, np.int64), []
+
+        def merged():
+            every, at = np.unique(np.concatenate([known, *new]), return_inverse=True)
+            return every, np.bincount(at, weights=np.concatenate([many, *(np.ones(len(x), np.int64) for x in new)]), minlength=len(every)).astype(np.int64)
+
+        for batch in batches:
+            for _, _, data, offsets in B.blocks(batch.column(0), 3 << 19):
+                _, first, last, _, h = runs(data, offsets, length, gram)
+                mine = within(_short(h, parts), anchors.value) if len(h) else np.zeros(0, bool)
+                if not mine.any():
+                    continue
+                every = grams(data, gram)
+                new += [every[a : b + length - gram + 1] for a, b in zip(first[mine], last[mine], strict=True)]
+                if sum(map(len, new)) > 1 << 21:
+                    known, many = merged()
+                    new = []
+        known, many = merged()
+        keep = many >= least
+        known, many = known[keep], many[keep]
+        for i in range(0, len(known), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(known[i : i + 50_000].view(np.int64)), pa.array(many[i : i + 50_000])], names=["gram", "n"])
+
+    return run
+
+
+def _contexts(parts: int, length: int, gram: int, hot):
+    """(key, text, flags) -> for each block and partition one blob with the contexts of flagged anchors; and final spans (part -1)."""
 
     def run(batches):
         for batch in batches:
             keys, flags = batch.column(0).to_numpy(), batch.column(2)
             for a, b, data, offsets in B.blocks(batch.column(1), 3 << 19):
-                row, first, last, anchor, h = runs(data, offsets, length, gram)
+                row, first, last, anchor, h = runs(data, offsets, length, gram, hot.value)
                 wanted = [np.frombuffer(b"".join(x.as_py()), np.uint32).astype(np.int64) + o for x, o in zip(flags.slice(a, b - a), offsets[:-1], strict=True)]
                 keep = np.isin(anchor, np.concatenate(wanted)) if wanted else np.zeros(0, bool)
                 row, first, last, anchor, h = row[keep], first[keep], last[keep], anchor[keep], h[keep]
                 if not len(row):
                     continue
-                part = ((h >> B.U64(32)) * B.U64(parts) >> B.U64(32)).astype(np.int64)
+                part = _parted(h, parts)
                 order = np.argsort(part, kind="stable")
                 bounds = np.searchsorted(part[order], np.arange(parts + 1))
-                full, blobs = np.flatnonzero(np.diff(bounds)), []
+                full, blobs, final = np.flatnonzero(np.diff(bounds)), [], []
                 for p in full:
                     own = order[bounds[p] : bounds[p + 1]]
                     known: dict[tuple, int] = {}
                     which = np.array([known.setdefault((int(h[i]), int(anchor[i] - first[i]), data[first[i] : last[i] + length].tobytes()), len(known)) for i in own], np.uint32)
                     head = np.array([(x[0], x[1], len(x[2])) for x in known], B.U64)
+                    # of a context that the block has more than twice, two entries tell that it is repeated
+                    place = np.argsort(which, kind="stable")
+                    nth = np.empty(len(own), np.int64)
+                    nth[place] = np.arange(len(own)) - np.searchsorted(which[place], which[place])
+                    final.append(own[nth > 1])
+                    own, which = own[nth <= 1], which[nth <= 1]
                     blobs.append(
                         np.array([len(known), len(own)], np.uint32).tobytes() + head.tobytes() + keys[a:b][row[own]].astype(np.int64).tobytes() + (first[own] - offsets[row[own]]).astype(np.int64).tobytes() + which.tobytes() + b"".join(x[2] for x in known)
                     )
-                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "blob"])
+                k, done = len(full), np.concatenate(final)
+                names = ["part", "blob", "key", "start", "end"]
+                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary()), *([pa.nulls(k, pa.int64())] * 3)], names=names)
+                if len(done):
+                    base = offsets[row[done]]
+                    spans = [keys[a:b][row[done]].astype(np.int64), first[done] - base, last[done] + length - base]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(done), -1, np.int32)), pa.nulls(len(done), pa.binary()), *map(pa.array, spans)], names=names)
 
     return run
 
@@ -401,16 +485,30 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     spark = documents.sparkSession
     parts = shuffle_partitions(spark)
     texts = documents.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    index = written(texts.mapInArrow(_anchors(parts, length, gram), "part int, doc_id long, key long, n long, blob binary"), "bwt-anchors")
+
+    def anchored(hot) -> tuple[DataFrame, DataFrame]:
+        index = written(texts.mapInArrow(_anchors(parts, length, gram, hot), "part int, doc_id long, key long, n long, blob binary"), "bwt-anchors")
+        return index, written(index.where("part >= 0").select("part", "blob").repartition(parts, "part").mapInArrow(_repeated_anchors(HOT), "key long, at binary, times long"), "bwt-repeated")
+
+    hot = spark.sparkContext.broadcast(np.zeros(0, B.U64))
+    index, repeated = anchored(hot)
+    anchors = repeated.where("times is not null").orderBy(F.desc("times"), "key").limit(HOT_ANCHORS).select("key").toPandas()["key"].to_numpy(np.int64)
+    if len(anchors):
+        around = spark.sparkContext.broadcast(np.sort(anchors.view(B.U64)))
+        often = texts.select("text").mapInArrow(_frequent(parts, length, gram, around, OFTEN), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > HOT // 2)
+        # any set of hot grams gives the same result, so the bound costs nothing but balance
+        hot = spark.sparkContext.broadcast(np.sort(often.orderBy(F.desc("n"), "gram").limit(HOT_GRAMS).select("gram").toPandas()["gram"].to_numpy(np.int64).view(B.U64)))
+        index, repeated = anchored(hot)
     copies = index.where(f"part < 0 and n >= {length}").groupBy("key").agg(F.max("n").alias("n"), F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"))
-    flags = index.where("part >= 0").select("part", "blob").repartition(parts, "part").mapInArrow(_repeated_anchors, "key long, at binary").groupBy("key").agg(F.collect_list("at").alias("at"))
+    flags = repeated.where("times is null").groupBy("key").agg(F.collect_list("at").alias("at"))
     flags = written(flags.join(copies.select("key", "doc_id"), "key"), "bwt-flags")
     holders = flags.select("key", "doc_id")
     few = holders.count() <= BROADCAST_ROWS
     held = texts.join(F.broadcast(holders) if few else holders, (texts["key"] == holders["key"]) & texts["doc_id"].eqNullSafe(holders["doc_id"]), "left_semi").select("key", "text")
     flagged = held.join(flags.select("key", "at"), "key").select("key", "text", "at")
-    blobs = flagged.mapInArrow(_contexts(parts, length, gram), "part int, blob binary").repartition(parts, "part")
-    found = blobs.mapInArrow(_intervals(length, symbol), "key long, start long, end long").groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    sent = written(flagged.mapInArrow(_contexts(parts, length, gram, hot), "part int, blob binary, key long, start long, end long"), "bwt-contexts")
+    blobs = sent.where("part >= 0").select("part", "blob").repartition(parts, "part")
+    found = blobs.mapInArrow(_intervals(length, symbol), "key long, start long, end long").unionByName(sent.where("part < 0").select("key", "start", "end")).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     spans = copies.join(found, "key", "left").where("copies > 1 or spans is not null")
     return texts, written(spans.select("key", "n", "copies", F.when(F.col("copies") == 1, F.col("spans")).alias("spans")), "bwt-spans")
 

@@ -125,8 +125,11 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
-def test_kept_bytes_equal_brute_force(spark):
-    """SHA-256 of what stays, spans and sizes, for repeats inside a text, overlaps, copies and multi-byte letters."""
+@pytest.mark.parametrize("hot", [2048, 1])
+def test_kept_bytes_equal_brute_force(spark, monkeypatch, hot):
+    """SHA-256 of what stays, spans and sizes, for repeats inside a text, overlaps, copies and multi-byte letters; also where anchors are hot."""
+    monkeypatch.setattr(bwt_dedup, "HOT", hot)
+    monkeypatch.setattr(bwt_dedup, "OFTEN", 1 if hot == 1 else 8)
     rng = random.Random(4)
     word = lambda n: "".join(rng.choice("abcdé") for _ in range(n))
     p, q = word(700), word(420)
