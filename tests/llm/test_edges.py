@@ -212,3 +212,27 @@ def test_texts_beyond_the_bound_are_counted(spark, monkeypatch):
     assert toxicity.training(*tables, bound=8).where("not later").count() > 400
     monkeypatch.setattr(toxicity, "SHARD", 100)
     assert asked_scores(toxicity.score(*tables, bound=8)) == pytest.approx(got, abs=1e-9)
+
+
+@pytest.mark.parametrize("forced", [None, (1, True), (3, True), (3, False), (12, True), (40, False)])
+def test_linked_sets_share_a_signature(monkeypatch, forced):
+    """Sets at the limit of linking, with frequent shingles and any allocation, also of too few segments."""
+    if forced:
+        monkeypatch.setattr(jaccard, "allocation", lambda *_: forced)
+    rng = np.random.default_rng(21)
+    often = np.unique(rng.integers(0, 1 << 52, 300).astype(np.uint64))
+    levels = (often, (1 + np.arange(len(often)) % jaccard.LEVELS).astype(np.uint8))
+    for p in [*range(1, 40), 63, 64, 127, 128, 300]:
+        for _ in range(6):
+            own = np.unique(np.concatenate([rng.integers(0, 1 << 52, p), rng.choice(often, min(p, int(rng.integers(0, 200))))]).astype(np.uint64))
+            rng.shuffle(own)
+            x, q = own[:p], p * 100 // 75
+            drop = int(rng.integers(0, jaccard.difference(p) + 1))
+            extra = rng.integers(0, 1 << 52, q - p).astype(np.uint64)[: max(0, jaccard.difference(p) - drop)]
+            y = np.concatenate([x[drop:], extra])
+            common, union = len(np.intersect1d(x, y)), len(np.union1d(x, y))
+            if not len(y) or 100 * common < 75 * union:
+                continue
+            sets, row = np.concatenate([np.sort(x), np.sort(y)]), np.repeat([0, 1], [len(x), len(y)])
+            r, sig = jaccard.signatures(row, sets, np.array([len(x), len(y)]), levels)
+            assert len(np.intersect1d(sig[r == 0], sig[r == 1])), (p, len(y), forced)
