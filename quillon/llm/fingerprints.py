@@ -122,24 +122,36 @@ def _bucket(order: Column, bounds: list[int]) -> Column:
 def neighbours(documents: DataFrame) -> DataFrame:
     """(bucket, doc_id, text, guest) for a sorted pass: each bucket ends with the next one's first row.
 
-    Rows go in descending doc_id, nulls last; equal ids by their text's hash.  Buckets are ranges
-    of doc_id between approximate quantiles; the first row of each is sent to the bucket before
-    it too, as a guest, and the very first to the last bucket.
+    Rows go in descending doc_id, nulls last (beside them the smallest long); equal ids by their text's hash.  Buckets are
+    ranges of doc_id between approximate quantiles; a doc_id (or null) that holds several quantiles is split by ranges of
+    that hash, so that no id is one task's.  The first row of each bucket is sent to the bucket before it too, as a
+    guest (with it, rows of the same id and text), and the very first to the last bucket.
     """
     spark = documents.sparkSession
-    order = F.coalesce(-F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), order.alias("place"))
+    order = F.coalesce(F.bitwise_not(F.col("doc_id").cast("long")), F.lit(2**63 - 1))
+    text = F.coalesce("text", F.lit(""))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), order.alias("place"), F.xxhash64(text).alias("hash"))
     parts = shuffle_partitions(spark)
-    cuts = rows.agg(F.percentile_approx("place", [i / parts for i in range(1, parts)] or [0.5], 100 * parts).alias("b")).first().b
-    bounds = sorted(set(cuts or []))
-    placed = rows.withColumn("bucket", _bucket(F.col("place"), bounds))
-    # the first place of each bucket that has rows: as many as partitions
-    first = sorted((r.bucket, r.low) for r in rows.select("place").withColumn("bucket", _bucket(F.col("place"), bounds)).groupBy("bucket").agg(F.min("place").alias("low")).collect())
-    to = {low: first[i - 1][0] for i, (_, low) in enumerate(first)}
-    guests = F.element_at(F.create_map(*(F.lit(x) for pair in to.items() for x in pair)), F.col("place")) if to else F.lit(None).cast("int")
-    both = placed.withColumn("to", F.filter(F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest")), F.struct(guests.alias("bucket"), F.lit(True).alias("guest"))), lambda x: x["bucket"].isNotNull()))
-    spread = both.select(F.explode("to").alias("to"), "doc_id", "text", "place").select("to.bucket", "to.guest", "doc_id", "text", "place")
-    return spread.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", "place", F.xxhash64("text"), "text").select("bucket", "guest", "doc_id", "text")
+    cuts = rows.agg(F.percentile_approx("place", [i / parts for i in range(1, parts)] or [0.5], 100 * parts).alias("b")).first().b or []
+    bounds = sorted(set(cuts))
+    # ranges of the hash that each bound's own rows take, and the number of the first
+    ranges = [1] + [cuts.count(x) if cuts.count(x) > 1 else 0 for x in bounds]
+    base = [sum(ranges[:i]) + i for i in range(len(ranges))]
+    number = lambda values: F.array(*(F.lit(x).cast("long") for x in values))
+    main, share = _bucket(F.col("place"), bounds), F.col("hash") / F.lit(2.0**64) + 0.5
+    many = F.get(number(ranges), F.col("main"))
+    own = F.get(number([0, *bounds]), F.col("main")) == F.col("place")
+    split = F.when((F.col("main") > 0) & own & (many > 0), F.least(F.floor(share * many), many - 1)).otherwise(many)
+    placed = rows.withColumn("main", main).withColumn("bucket", (F.get(number(base), F.col("main")) + split).cast("int")).drop("main")
+    # the first place of each bucket that has rows: as many as partitions, twice at most
+    first = sorted((r.bucket, r.low.place, r.low.hash) for r in placed.select("bucket", "place", "hash").groupBy("bucket").agg(F.min(F.struct("place", "hash")).alias("low")).collect())
+    of = {b: (place, h, first[i - 1][0]) for i, (b, place, h) in enumerate(first)}
+    low, low_hash, before = zip(*(of.get(b, (0, 0, 0)) for b in range(max(of, default=0) + 1)), strict=True)
+    at = F.col("bucket")
+    guests = F.when((F.get(number(low), at) == F.col("place")) & (F.get(number(low_hash), at) == F.col("hash")), F.get(number(before), at).cast("int"))
+    to = F.filter(F.array(F.struct(at.alias("bucket"), F.lit(False).alias("guest")), F.struct(guests.alias("bucket"), F.lit(True).alias("guest"))), lambda x: x["bucket"].isNotNull())
+    spread = placed.select(F.explode(to).alias("to"), "doc_id", "text", "place", "hash").select("to.bucket", "to.guest", "doc_id", "text", "place", "hash")
+    return spread.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", "place", "hash", "text").select("bucket", "guest", "doc_id", "text")
 
 
 def edited(text: str, after: str) -> str:

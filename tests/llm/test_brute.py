@@ -232,3 +232,24 @@ def test_stage_packing(spark, docs):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     packed_right(corpus_pipeline.pack_windows(spark, table, SF).collect(), dict(docs))
     assert packing.pack(table.limit(0)).count() == 0
+
+
+def test_fingerprints_split_hot_ids(spark):
+    import xxhash
+
+    rng = np.random.default_rng(11)
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else int(k), "".join(rng.choice(list("abc "), 40))) for k in range(600)] + [(-(2**63), "least"), (None, None), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    signed = lambda x: (lambda h: h - 2**64 if h >= 2**63 else h)(xxhash.xxh64((x or "").encode(), seed=42).intdigest())
+    order = sorted(rows, key=lambda r: (2**63 - 1 if r[0] is None else ~r[0], signed(r[1])))
+    expected = Counter((i, hashlib.sha256(P.edited(x or "", order[(k + 1) % len(order)][1] or "").encode()).hexdigest()) for k, (i, x) in enumerate(order))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        placed = P.neighbours(df)
+        sizes = Counter(r.bucket for r in placed.where("not guest").collect())
+        assert max(sizes.values()) < 100
+        got = placed.mapInArrow(P._compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert Counter((r.doc_id, r.edited_sha256) for r in got) == expected
