@@ -553,4 +553,9 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeated strings of LENGTH bytes cover.
+
+    Null and empty texts have none.  A row for each row; repeated rows are copies, so texts of LENGTH bytes and more go as a whole.  Nothing is
+    kept of the places of a repeat, whichever came first.  An empty table gives no rows; further columns aren't read.
+    """
     return remove_repeats(read(spark, sf_dir, "documents"))

@@ -296,6 +296,12 @@ def _cut(batches):
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document.
+
+    Null and empty texts have no words and no hits; null and empty items have no windows; a null item_id counts as an empty string.  A row for
+    each row; repeated rows and overlapping hits are each counted as the contract says, a word once.  An empty benchmark hits
+    nothing, an empty table gives no rows; further columns aren't read.
+    """
     texts = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     schema = T.StructType([T.StructField(n, T.StringType() if n == "items_sha256" else T.LongType()) for n in ("doc_id", "n_words", "n_hit", "n_items", "items_sha256")])
     out = _searched(texts, read(spark, sf_dir, "benchmark"), WINDOW, _digest, schema)

@@ -194,5 +194,11 @@ def _compared(batches):
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every text and of its edited text.
+
+    A null text is empty; two empty texts are alike (1), an empty and another one aren't (0).  Rows with one doc_id, or with
+    none, go by their text's hash, nulls last, and each gets a row; a single row follows itself.  An empty table gives no rows;
+    further columns aren't read.
+    """
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return neighbours(read(spark, sf_dir, "documents")).mapInArrow(_compared, schema)

@@ -150,5 +150,10 @@ def identify(documents: DataFrame, profiles: Profiles) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document.
+
+    ``und`` and 0 for a null text and one without a letter, and for all where nothing was learnt.  A row for each row; repeated rows count
+    in the profiles as often as they stand there.  Equally near languages: the first by name.  An empty table gives no rows; further columns aren't read.
+    """
     documents = read(spark, sf_dir, "documents")
     return identify(documents, fit(documents)).select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), "lang_pred", "score")

@@ -107,6 +107,12 @@ def scan(documents: DataFrame) -> DataFrame:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence words of every document, as the contract's columns.
+
+    A null or empty text has no words, no labels, null places and a score of 0.  A row for each row: repeated rows and null
+    ids stay; a place counts once for each phrase that begins there.  An empty table gives no rows;
+    further columns aren't read.
+    """
     found = scan(read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"))
     found = found.withColumn("_base", F.filter("licenses", lambda x: x["template"] < BASE))
     names = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda x: x["label"]))), ",")

@@ -191,4 +191,9 @@ def pack(documents: DataFrame, window: int = WINDOW, end_id: int = END_ID, token
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of WINDOW ids.
+
+    A null or empty text is the end id alone; a null doc_id stays null.  Repeated rows are packed once each.  Among equally
+    good levels the fullest window takes a piece.  An empty table gives no rows; further columns aren't read.
+    """
     return pack(read(spark, sf_dir, "documents"))

@@ -144,4 +144,11 @@ def score(documents: DataFrame, labels: DataFrame, bound: int = BOUND) -> DataFr
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by the labelled neighbours' votes.
+
+    A null text is empty, and empty texts are scored like others.  A row for each row, null ids (never held out, as crc32 of
+    an empty text) and repeats included; repeated labels of an id count as the largest, its texts as the smallest.  Among neighbours
+    of equal likeness at the border, those that the partition puts first vote, the same for the same input.  Without labels
+    of both kinds the score is the share of label 1, or 0.5; an empty table gives no rows.  Further columns aren't read.
+    """
     return score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

@@ -124,6 +124,11 @@ def redacted(text: Column, secrets: Column, mark: str = "[secret]") -> Column:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document.
+
+    Null and empty texts have none.  A row for each row, repeated rows and null ids included.  Spans that start together go by kind as
+    listed; those of different kinds may overlap.  An empty table gives no rows; further columns aren't read.
+    """
     found = scan(read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"))
     written = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     many = lambda k: F.size(F.filter("secrets", lambda x: x["kind"] == k)).cast("long")

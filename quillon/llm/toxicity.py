@@ -368,4 +368,10 @@ def score(documents: DataFrame, labels: DataFrame, bound: int = BOUND) -> DataFr
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by the two language models.
+
+    Texts without words (null, empty) get the share of toxic labels.  A row for each row, null ids (held out by crc32 of an empty
+    text) and repeats included; repeated labels of an id count as the largest, its texts as the smallest.  Equal texts have
+    equal scores.  Without labels of both classes all scores are that share; an empty table gives no rows.  Further columns aren't read.
+    """
     return score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
