@@ -87,7 +87,7 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES = [("toxicity", drop_toxic), ("jaccard", drop_near_copies), ("decontamination", cut_benchmark), ("secrets", replace_secrets), ("packing", pack_windows)]
-#: Trained models and tokenisation aren't SQL.  Tests check stages' columns and single properties, not whole results against a plain version.
+#: Trained models and tokenisation aren't SQL.  Tests compare the stages' results with plain versions, that of toxicity with operator 6's predictions.
 ORACLE_SQL = None
 
 
