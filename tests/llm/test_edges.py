@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from quillon.llm import bwt_dedup, fingerprints, jaccard, langid, licenses, packing, quality, secrets, toxicity
+from quillon.llm import bwt_dedup, bytescan, fingerprints, jaccard, langid, licenses, packing, quality, secrets, toxicity
 from quillon.llm.decontaminate import find_contamination, without_contamination
 
 LINE = "the quick brown fox jumps over the lazy dog while seven grey geese walk home slowly "
@@ -236,3 +237,19 @@ def test_linked_sets_share_a_signature(monkeypatch, forced):
             sets, row = np.concatenate([np.sort(x), np.sort(y)]), np.repeat([0, 1], [len(x), len(y)])
             r, sig = jaccard.signatures(row, sets, np.array([len(x), len(y)]), levels)
             assert len(np.intersect1d(sig[r == 0], sig[r == 1])), (p, len(y), forced)
+
+
+def test_words_of_a_block_take_little_memory():
+    """Workers share an executor's memory with the JVM: words are hashed a stretch at a time, with the same hashes, also of longer words."""
+    rng = np.random.default_rng(5)
+    data = rng.choice(np.frombuffer(b"abcdefgXYZ ", np.uint8), 3 << 20)
+    data[1 << 20 : (1 << 20) + 3 * bytescan.STRIDE] = ord("x")
+    offsets = np.array([0, 1 << 21, 1 << 21, len(data)])
+    row, start, end = bytescan.spans(data, offsets, bytescan.WORD_BYTES)
+    want = bytescan.range_hash(bytescan.prefix_hash(bytescan.LOWER[data]), start, end)
+    tracemalloc.start()
+    got = bytescan.words(data, offsets, bytescan.WORD_BYTES)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(np.array_equal(x, y) for x, y in zip(got, (row, start, end, want), strict=True))
+    assert peak < 16 * len(data), peak
