@@ -15,9 +15,9 @@ of which linked sets share one (Chaudhuri, Ganti, Kaushik, ICDE 2006).
 
 Allocation: how many segments and whether they take their one-deletion neighbourhoods is chosen for each
 band by a cost model: index entries, plus those of a single shingle once more, plus the entries of sets that
-gain too little.  Shingles that are frequent in a sample of the texts have segments of their own that come after the
-others, by level, so that common lines stay out of most subsets.  The sample only decides what is cheap; any
-partition of the universe is exact.
+gain too little.  Frequent shingles have segments of their own that come after the others, by level, so that common
+lines stay out of most subsets.  The shingles of all rows are counted for that, each as itself: sorted in each task, dealt by
+their first bits and added up.  The counts only decide what is cheap; any partition of the universe is exact.
 
 A set is indexed for its own band and, where partners can lie there, for the next larger one.
 
@@ -49,10 +49,11 @@ from quillon.llm.common import read, shuffle_partitions, written
 WORDS = 5
 PERCENT = 75
 SMALL = 4
-#: Different texts, at least, from which shingles' frequencies are estimated; beyond SAMPLE * EVERY, one text in EVERY.
-SAMPLE, EVERY = 8192, 64
-#: Shingles in fewer texts of the sample count as rare; of the others so many are broadcast at most (9 bytes each), the most frequent.
-OFTEN, FREQUENT = 3, 1 << 21
+#: Shingles in OFTEN rows are frequent, in larger tables those in OFTEN of each ROWS rows, or in OFTEN * MOST rows.  So many of them are
+#: broadcast at most (9 bytes each), the most frequent.
+OFTEN, ROWS, MOST, FREQUENT = 3, 8192, 64, 1 << 21
+#: Shingles that a task sorts before it passes their counts on, and the bits of a shingle by which these are dealt.
+HELD_SHINGLES, GROUP_BITS = 1 << 21, 10
 #: Levels of frequent shingles; each holds four times the frequency of the one before.
 LEVELS = 3
 #: The sizes of a band lie within this factor.
@@ -234,13 +235,74 @@ def _nodes(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(key), batch.column(2).slice(a, b - a), sketch], names=["doc_id", "n", "key", "hash", "sketch"])
 
 
+def _counted(batches):
+    """Texts -> counts of their shingles, in blobs by first bits: (count of repeated ones, these, their counts, lower 32 bits of single ones, steps between their upper bits)."""
+
+    def blobs(held):
+        sets, times = np.unique(np.concatenate(held), return_counts=True)
+        bounds = np.arange((1 << GROUP_BITS) + 1, dtype=B.U64) << B.U64(52 - GROUP_BITS)
+        single, many, times = sets[times == 1], sets[times > 1], times[times > 1].astype(np.uint32)
+        first, first_many = np.searchsorted(single, bounds), np.searchsorted(many, bounds)
+        low, high = single.astype(np.uint32), (single >> B.U64(32)).astype(np.int64) & ((1 << 20 - GROUP_BITS) - 1)
+        parts, out = [], []
+        for g in range(1 << GROUP_BITS):
+            x, y = slice(first[g], first[g + 1]), slice(first_many[g], first_many[g + 1])
+            if x.start < x.stop or y.start < y.stop:
+                parts.append(g)
+                out.append(np.array([y.stop - y.start], np.uint32).tobytes() + many[y].tobytes() + times[y].tobytes() + low[x].tobytes() + np.diff(high[x], prepend=0).astype(np.uint16).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(out, pa.binary())], names=["part", "blob"])
+
+    held, size = [], 0
+    for batch in batches:
+        for _, _, data, offsets in B.blocks(batch.column(0), 2 << 20):
+            held.append(shingle_sets(data, offsets)[1])
+            size += len(held[-1])
+            if size >= HELD_SHINGLES:
+                yield blobs(held)
+                held, size = [], 0
+    if size:
+        yield blobs(held)
+
+
+def _added(least: int):
+    """The blobs of a partition -> (shingle, number of rows) of those in ``least`` rows or more."""
+
+    def run(batches):
+        single, many, counts = [], [], []
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_numpy(), batch.column(1), strict=True):
+                raw = blob.as_buffer()
+                k = int(np.frombuffer(raw, np.uint32, 1)[0])
+                many.append(np.frombuffer(raw[4 : 4 + 8 * k].to_pybytes(), B.U64))
+                counts.append(np.frombuffer(raw, np.uint32, k, 4 + 8 * k))
+                at, n = 4 + 12 * k, (raw.size - 4 - 12 * k) // 6
+                high = np.cumsum(np.frombuffer(raw[at + 4 * n :].to_pybytes(), np.uint16), dtype=B.U64)
+                single.append((B.U64(int(part)) << B.U64(52 - GROUP_BITS)) | (high << B.U64(32)) | np.frombuffer(raw, np.uint32, n, at).astype(B.U64))
+        if not single:
+            return
+        sets, times = np.unique(np.concatenate(single), return_counts=True)
+        del single
+        kept = times >= min(least, 2)  # one that stands alone in each of its blobs
+        more, which = np.unique(np.concatenate(many), return_inverse=True)
+        total = np.bincount(which, np.concatenate(counts), len(more)).astype(np.int64)
+        at = np.minimum(np.searchsorted(sets, more), max(0, len(sets) - 1))
+        same = sets[at] == more if len(sets) else np.zeros(len(more), bool)
+        total[same] += times[at[same]]
+        kept[at[same]] = False
+        found, total = np.concatenate((sets[kept], more)), np.concatenate((times[kept], total))
+        found, total = found[total >= least], total[total >= least]
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(total, pa.int64())], names=["s", "times"])
+
+    return run
+
+
 def _often(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, levels) of those in OFTEN or more texts of a sample, the FREQUENT most frequent at most."""
-    every = max(1, min(EVERY, texts.count() // SAMPLE))
-    some = texts.select(F.xxhash64("text").alias("key"), "text").where(F.pmod("key", F.lit(every)) == 0).dropDuplicates(["key"])
-    counts = some.mapInArrow(_sets, "key long, shingles array<long>").select(F.explode("shingles").alias("s")).groupBy("s").count().where(F.col("count") >= OFTEN)
-    counts = written(counts.select("s", F.least(F.lit(LEVELS), 1 + F.floor(F.log2(F.col("count") / OFTEN) / 2)).cast("int").alias("level"), F.col("count").alias("times")), "jaccard-often")
-    least, held = OFTEN, 0
+    """(shingles, levels) of the frequent ones by the counts of all rows of texts(text), the FREQUENT most frequent at most."""
+    first = OFTEN * max(1, min(MOST, texts.count() // ROWS))
+    blobs = texts.select("text").mapInArrow(_counted, "part int, blob binary").repartition(shuffle_partitions(texts.sparkSession), "part")
+    counts = blobs.mapInArrow(_added(first), "s long, times long")
+    counts = written(counts.select("s", F.least(F.lit(LEVELS), 1 + F.floor(F.log2(F.col("times") / first) / 2)).cast("int").alias("level"), "times"), "jaccard-often")
+    least, held = first, 0
     for r in counts.groupBy(F.least(F.col("times"), F.lit(1 << 16)).alias("times")).agg(F.count("*").alias("n")).orderBy(F.desc("times")).collect():
         held += r.n
         if held > FREQUENT:

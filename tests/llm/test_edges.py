@@ -253,3 +253,17 @@ def test_words_of_a_block_take_little_memory():
     tracemalloc.stop()
     assert all(np.array_equal(x, y) for x, y in zip(got, (row, start, end, want), strict=True))
     assert peak < 16 * len(data), peak
+
+
+def test_frequent_shingles_are_counted_in_all_rows(spark, monkeypatch):
+    """Lines at the limits of the levels, in a table of which one text in two was sampled before; added up over several blobs."""
+    rows, line = 2 * 8192 + 100, "all {} rows are counted"
+    want = {5: 0, 6: 1, 23: 1, 24: 2, 95: 2, 96: 3, 500: 3}
+    last = np.cumsum(list(want))
+    texts = [f"a{i} b{i} c{i} d{i} e{i}" + (" " + line.format(list(want)[np.searchsorted(last, i, "right")]) if i < last[-1] else "") for i in range(rows)]
+    random.Random(3).shuffle(texts)
+    monkeypatch.setattr(jaccard, "HELD_SHINGLES", 1000, raising=False)
+    shingles, levels = jaccard._often(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    data = np.frombuffer("".join(line.format(k) for k in want).encode(), np.uint8)
+    row, sets = jaccard.shingle_sets(data, np.concatenate(([0], np.cumsum([len(line.format(k)) for k in want]))))
+    assert dict(zip(shingles.tolist(), levels.tolist(), strict=True)) == {s: x for s, x in zip(sets.tolist(), [list(want.values())[r] for r in row], strict=True) if x}
