@@ -308,8 +308,10 @@ def _often(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if held > FREQUENT:
             least = r.times + 1
             break
-    found = counts.where(F.col("times") >= least).select("s", "level").toPandas().sort_values("s")
-    return found["s"].to_numpy(np.int64).view(B.U64), found["level"].to_numpy(np.uint8)
+    found = counts.where(F.col("times") >= least).select("s", "level").toArrow()
+    sets, level = found["s"].to_numpy().astype(B.U64), found["level"].to_numpy().astype(np.uint8)
+    order = np.argsort(sets)
+    return sets[order], level[order]
 
 
 def _spread(parts: int, often):

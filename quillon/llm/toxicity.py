@@ -69,8 +69,7 @@ _PAIR = B.U64((1 << 2 * SLOT_BITS) - 1)
 def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """(row, slots, present): of each word its openings and the word itself, and which of them it has."""
     row, start, end = B.spans(data, offsets, B.WORD_BYTES)
-    c = B.prefix_hash(B.LOWER[data])
-    hashes = [B.range_hash(c, start, np.minimum(start + k, end)) ^ B.U64(i) for i, k in enumerate((*OPENINGS, 1 << 40))]
+    hashes = [h ^ B.U64(i) for i, h in enumerate(B.hashes(data, start, end, [*(np.minimum(start + k, end) for k in OPENINGS), end]))]
     return row, [B.mix(h) >> B.U64(64 - SLOT_BITS) for h in hashes], [np.ones(len(row), bool), *(end - start > k for k in OPENINGS)]
 
 
