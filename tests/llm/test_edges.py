@@ -267,3 +267,18 @@ def test_frequent_shingles_are_counted_in_all_rows(spark, monkeypatch):
     data = np.frombuffer("".join(line.format(k) for k in want).encode(), np.uint8)
     row, sets = jaccard.shingle_sets(data, np.concatenate(([0], np.cumsum([len(line.format(k)) for k in want]))))
     assert dict(zip(shingles.tolist(), levels.tolist(), strict=True)) == {s: x for s, x in zip(sets.tolist(), [list(want.values())[r] for r in row], strict=True) if x}
+
+
+def test_stage_counts_shingles_of_all_texts_it_gets(spark, monkeypatch):
+    """The pipeline's stage for near copies: a line at the limit in its rows is frequent, one in a row less is not; no text is left out."""
+    for name, value in (("ROWS", 8), ("MOST", 2), ("SAMPLE", 8), ("EVERY", 2)):
+        monkeypatch.setattr(jaccard, name, value, raising=False)
+    often, seen = jaccard._often, []
+    monkeypatch.setattr(jaccard, "_often", lambda *a: seen.append(often(*a)) or seen[-1])
+    lines = {"every one of these counts": range(0, 40, 7), "none of these five counts": range(1, 40, 8)}
+    docs = [(i, f"a{i} b{i} c{i} d{i} e{i} " + " ".join(x for x, at in lines.items() if i in at)) for i in range(40)]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert kept.count() == 40
+    data = np.frombuffer(next(iter(lines)).encode(), np.uint8)
+    assert [len(x) for x in lines.values()] == [6, 5]
+    assert [s.tolist() for s, _ in seen] == [jaccard.shingle_sets(data, np.array([0, len(data)]))[1].tolist()]
