@@ -49,9 +49,10 @@ from quillon.llm.common import read, shuffle_partitions, written
 WORDS = 5
 PERCENT = 75
 SMALL = 4
-#: Shingles in OFTEN rows are frequent, in larger tables those in OFTEN of each ROWS rows, or in OFTEN * MOST rows.  So many of them are
+#: Shingles in OFTEN rows are frequent, in larger tables those in OFTEN of each ROWS rows, or in OFTEN * MOST rows.  That limit must not go on
+#: growing with the table: buckets of shingles just below it would too, and with them the pairs to look at.  FREQUENT of them are
 #: broadcast at most (9 bytes each), the most frequent.
-OFTEN, ROWS, MOST, FREQUENT = 3, 8192, 64, 1 << 21
+OFTEN, ROWS, MOST, FREQUENT = 3, 8192, 6, 1 << 21
 #: Shingles that a task sorts before it passes their counts on, and the bits of a shingle by which these are dealt.
 HELD_SHINGLES, GROUP_BITS = 1 << 21, 10
 #: Levels of frequent shingles; each holds four times the frequency of the one before.

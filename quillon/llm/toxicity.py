@@ -280,6 +280,7 @@ def summed(texts: DataFrame, model: Model, name: str) -> DataFrame:
     schema, out = T.StructType([*texts.schema.fields, T.StructField(name, added)]), texts
     for s in range(model.shards):
         out = out.mapInArrow(adding(spark.sparkContext.broadcast(model.shard(s)), s == 0), schema)
+        B.give_back()
         out = out if s == model.shards - 1 else written(out, "toxic-sums")  # one shard in memory at a time
     return out
 
@@ -337,13 +338,15 @@ def fit(documents: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
     known = _of_units(counts.where("kind > 0").groupBy("kind", "id").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "t0", "t1"))).toArrow())
     marked = labels.where("toxic in (0, 1) and doc_id is not null").where(fold(F.col("doc_id"), FOLDS) != HELD)
     toxic, n = marked.agg(F.sum("toxic"), F.count("*")).first()
-    held = spark.sparkContext.broadcast(known)
+    held, alone = spark.sparkContext.broadcast(known), known["alone"]
+    del known
+    B.give_back()
     found = written(counts.where("kind = 0").select("id", "n0", "n1").mapInArrow(_of_pairs(held, (n - (toxic or 0), toxic or 0)), "key long, value double"), "toxic-ratios")
     shards = max(1, -(-found.count() // SHARD))
-    model = Model(known["alone"], found.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))), shards)
+    model = Model(alone, found.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))), shards)
     share = (toxic or 0) / n if n else 0.0
-    x = summed(train.where("later").select("text", "y"), model, "x").where("x.n > 0").select("y", *(f.alias(c) for f, c in zip(_features("x"), "ab", strict=True))).toPandas()
-    slopes, intercept = logistic(x[["a", "b"]].to_numpy(float), x["y"].to_numpy())
+    x = summed(train.where("later").select("text", "y"), model, "x").where("x.n > 0").select("y", *(f.alias(c) for f, c in zip(_features("x"), "ab", strict=True))).toArrow()
+    slopes, intercept = logistic(np.column_stack((x["a"].to_numpy(), x["b"].to_numpy())), x["y"].to_numpy())
     odds = np.clip(share, 1e-3, 1 - 1e-3)
     model.slopes, model.share = tuple(map(float, slopes)), float(share)
     model.intercept = intercept + PRIOR * float(np.log(odds / (1 - odds)))

@@ -282,3 +282,16 @@ def test_stage_counts_shingles_of_all_texts_it_gets(spark, monkeypatch):
     data = np.frombuffer(next(iter(lines)).encode(), np.uint8)
     assert [len(x) for x in lines.values()] == [6, 5]
     assert [s.tolist() for s, _ in seen] == [jaccard.shingle_sets(data, np.array([0, len(data)]))[1].tolist()]
+
+
+def test_limit_of_frequent_shingles_stays_in_larger_tables(spark, monkeypatch):
+    """A line in 18 rows is frequent in a table of any size, so buckets of rarer lines don't grow with the table; links are the same."""
+    monkeypatch.setattr(jaccard, "ROWS", 4)
+    lines = {"a line that eighteen have": 18, "a line that seventeen have": 17}
+    texts = [f"a{i} b{i} c{i} d{i} e{i}" + "".join(f" {x}" for x, n in lines.items() if i < n) for i in range(1000)]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[3], texts[900]])), "doc_id long, text string").repartition(3)
+    line = np.frombuffer(next(iter(lines)).encode(), np.uint8)
+    shingles, _ = jaccard._often(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert shingles.tolist() == jaccard.shingle_sets(line, np.array([0, len(line)]))[1].tolist()
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
+    assert got == {i: {1000: 3, 1001: 900}.get(i, i) for i in range(1002)}
