@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -295,3 +296,27 @@ def test_limit_of_frequent_shingles_stays_in_larger_tables(spark, monkeypatch):
     assert shingles.tolist() == jaccard.shingle_sets(line, np.array([0, len(line)]))[1].tolist()
     got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
     assert got == {i: {1000: 3, 1001: 900}.get(i, i) for i in range(1002)}
+
+
+def test_frequent_grams_are_held_without_their_blocks():
+    """What a task holds of the grams around hot anchors doesn't grow with the text that it looks through; every text's are counted."""
+    rng = np.random.default_rng(6)
+    word = lambda n: rng.choice(np.frombuffer(b"abcdefgh", np.uint8), n).tobytes()
+    passage, length, gram = word(900), bwt_dedup.LENGTH, bwt_dedup.GRAM
+    _, _, _, _, h = bwt_dedup.runs(np.frombuffer(passage, np.uint8), np.array([0, len(passage)]), length, gram)
+
+    class Anchors:
+        value = np.sort(bwt_dedup._short(np.unique(h), 7))
+
+    def peak(n):
+        batch = pa.RecordBatch.from_arrays([pa.array([word(300_000) + passage for _ in range(n)], pa.binary())], names=["text"])
+        tracemalloc.start()
+        got = pa.Table.from_batches(bwt_dedup._frequent(7, length, gram, Anchors, n)([batch]))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert set(got["gram"].to_numpy().view(np.uint64).tolist()) == set(bwt_dedup.grams(np.frombuffer(passage, np.uint8), gram).tolist())
+        assert min(got["n"].to_pylist()) >= n
+        return most
+
+    least = peak(6)
+    assert peak(60) < 1.5 * least
