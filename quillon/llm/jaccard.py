@@ -564,7 +564,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     blobs = texts.select("text").mapInArrow(_spread(parts, often), "part int, blob binary").repartition(parts, "part")
     raw = written(blobs.mapInArrow(_pairs, "a long, b long, star long").groupBy("a", "b").agg(F.max("star").alias("star")), "jaccard-raw")
     ends = raw.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sketched = rows.join(ends, "key", "left_semi").dropDuplicates(["key"])
+    # written, as each round reads them: the pairs are taken apart once
+    sketched = written(rows.join(ends, "key", "left_semi").dropDuplicates(["key"]), "jaccard-sketches")
     possible = written(_possible(raw, sketched), "jaccard-pairs")
     pairs = possible.where("fits").drop("fits")
     rows = rows.select("doc_id", "n", "key", "hash")

@@ -298,6 +298,16 @@ def test_limit_of_frequent_shingles_stays_in_larger_tables(spark, monkeypatch):
     assert got == {i: {1000: 3, 1001: 900}.get(i, i) for i in range(1002)}
 
 
+def test_rounds_do_not_take_the_pairs_apart_again(spark, monkeypatch):
+    """Every round over large buckets reads the sketches as they were written, not all candidate pairs anew."""
+    apart, plans = jaccard._apart, []
+    monkeypatch.setattr(jaccard, "_apart", lambda star, sketched, *a: plans.append(sketched._jdf.queryExecution().toString()) or apart(star, sketched, *a))
+    docs = [(i, " ".join(f"w{k}" for k in range(60)) + f" end{i}") for i in range(8)]
+    found = jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.component_id for r in found} == {0} and len(found) == 8
+    assert plans and not any("explode" in p.lower() for p in plans)
+
+
 def test_frequent_grams_are_held_without_their_blocks():
     """What a task holds of the grams around hot anchors doesn't grow with the text that it looks through; every text's are counted."""
     rng = np.random.default_rng(6)
