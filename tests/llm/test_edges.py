@@ -330,3 +330,37 @@ def test_frequent_grams_are_held_without_their_blocks():
 
     least = peak(6)
     assert peak(60) < 1.5 * least
+
+
+def test_repeats_write_no_table_that_is_read_once(spark, monkeypatch):
+    """Also where anchors are hot, three tables are written, each once; spans that are final in their block take the contexts' way."""
+    monkeypatch.setattr(bwt_dedup, "HOT", 1)
+    monkeypatch.setattr(bwt_dedup, "OFTEN", 1)
+    write, names = bwt_dedup.written, []
+    monkeypatch.setattr(bwt_dedup, "written", lambda df, name: names.append(name) or write(df, name))
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    passage = word(600)
+    docs = [(i, f"{word(300)}{chr(65 + i)}{passage}{chr(65 + i)}{word(300)}") for i in range(8)]
+    found = bwt_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(1)).collect()
+    assert {r.doc_id: (r.n_removed, r.n_spans) for r in found} == {i: (600, 1) for i in range(8)}
+    assert sorted(names) == ["bwt-anchors", "bwt-flags", "bwt-spans"]
+
+
+def test_anchors_are_looked_for_a_stretch_at_a_time():
+    """Memory doesn't grow with the block of texts; runs are those of each text alone."""
+    rng = np.random.default_rng(9)
+
+    def found(n):
+        data, offsets = rng.choice(np.frombuffer(b"abcdefgh", np.uint8), 10_000 * n), np.arange(n + 1) * 10_000
+        bytescan.powers(len(data) + 1)
+        tracemalloc.start()
+        got = bwt_dedup.runs(data, offsets, bwt_dedup.LENGTH, bwt_dedup.GRAM)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        alone = [bwt_dedup.runs(data[s : s + 10_000], offsets[:2], bwt_dedup.LENGTH, bwt_dedup.GRAM) for s in offsets[:-1]]
+        assert [x.tolist() for x in got] == [np.concatenate([x[k] + (i if k == 0 else i * 10_000 if k < 4 else np.uint64(0)) for i, x in enumerate(alone)]).tolist() for k in range(5)]
+        return most
+
+    least = found(60)
+    assert found(480) < 1.5 * least
