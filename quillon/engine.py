@@ -226,5 +226,5 @@ def files_matching(rows: DataFrame, text: str | None = None, columns: dict | Non
 def term_statistics(documents: DataFrame, tokens) -> DataFrame:
     """(term, df, cf): a row sends its tokens and, beside them, its different tokens; sums are merged before the one exchange by term."""
     one = lambda df, cf: lambda x: F.struct(x.alias("term"), F.lit(df).cast("long").alias("df"), F.lit(cf).cast("long").alias("cf"))
-    each = documents.select(tokens.alias("t")).select(F.explode(F.concat(F.transform(F.array_distinct("t"), one(1, 0)), F.transform("t", one(0, 1)))).alias("x"))
+    each = documents.select(F.explode(F.array(tokens)).alias("t")).select(F.explode(F.concat(F.transform(F.array_distinct("t"), one(1, 0)), F.transform("t", one(0, 1)))).alias("x"))
     return each.groupBy("x.term").agg(F.sum("x.df").alias("df"), F.sum("x.cf").alias("cf"))

@@ -31,11 +31,13 @@ TOKENS = {
 
 
 def fold(c: Column, extended: bool = True) -> Column:
-    """Accented Latin letters without their accents; ``extended`` also spells out ligatures and sharp s."""
-    c = F.translate(c, _PLAIN + _MARKS, _FOLDED)
+    """Accented Latin letters without their accents; ``extended`` also spells out ligatures and sharp s.  ASCII alone stays as it is."""
+    single = {a: b for a, b in _DOUBLE.items() if len(b) == 1} if extended else {}
+    out = F.translate(c, _PLAIN + "".join(single) + _MARKS, _FOLDED + "".join(single.values()))
     for a, b in _DOUBLE.items() if extended else ():
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
+        if a not in single:
+            out = F.replace(out, F.lit(a), F.lit(b))
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(out)
 
 
 def folded(text: str) -> str:

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.store import written
+
 PAGE_LIMIT, TOP_LIMIT, DEPTH_LIMIT, PAGE_SIZE = 1000, 10_000, 50_000, 20
 EXCLUDED_TYPES = ("collection", "compound", "array", "file")
 K1, B = 1.2, 0.75
@@ -74,22 +76,25 @@ def drilled(selected: dict[str, list[str]], known: dict[str, bool]) -> Column:
 
 def index_statistics(documents: DataFrame, tokens: Column) -> DataFrame:
     """One row: n, the rows that have tokens, and avg, their mean number."""
-    return documents.select(F.size(tokens).cast("double").alias("len")).where("len >= 0").agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
+    long = F.when(F.col("len") >= 0, F.col("len"))  # a where would go below and take the texts apart once more
+    return documents.select(F.size(tokens).cast("double").alias("len")).agg(F.count(long).alias("n"), F.avg(long).alias("avg"))
 
 
-def bm25(documents: DataFrame, doc: str, tokens: Column, terms: list[str], known: tuple[int, float, dict[str, int]] | None = None) -> DataFrame:
-    """(doc, score) of rows with any of the terms.
+def bm25(documents: DataFrame, doc: str, tokens: Column, terms: list[str], known: tuple[int, float, dict[str, int]] | None = None, among: Column | None = None) -> DataFrame:
+    """(doc, score) of rows with any of the terms; of those that ``among`` holds for, if given.
 
     ``known``: rows, mean length and rows by term of the whole index, as a commit keeps them; then ``documents``
-    may be any part of it, and is read once.  Without it, the statistics are those of ``documents``:
-    one aggregate of partial sums, one row that is broadcast.  Term frequencies are counted by array functions in the scan.
+    may be any part of it.  Without it, the statistics are those of ``documents``, ``among`` or not: a row's length and
+    term frequencies are written, small beside its text, and read for one row of sums that is broadcast, and for the scores.
+    Either way the texts are read and taken apart once; the one-element explode keeps filters from repeating it.
     """
     terms = list(dict.fromkeys(terms))
-    base = documents.select(F.col(doc).alias("doc"), tokens.alias("t")).where("t is not null")
+    base = documents.select(F.col(doc).alias("doc"), (F.lit(True) if among is None else among).alias("among"), F.explode(F.array(tokens)).alias("t")).where("t is not null")
     tf = lambda i: F.size(F.filter("t", lambda x: x == terms[i])).cast("double").alias(f"tf{i}")
-    base = base.select("doc", F.size("t").cast("double").alias("len"), *(tf(i) for i in range(len(terms))))
-    hit = F.greatest(*(F.col(f"tf{i}") for i in range(len(terms))), F.lit(0.0)) > 0
+    base = base.select("doc", "among", F.size("t").cast("double").alias("len"), *(tf(i) for i in range(len(terms))))
+    hit = F.col("among") & (F.greatest(*(F.col(f"tf{i}") for i in range(len(terms))), F.lit(0.0)) > 0)
     if known is None:
+        base = written(base, "bm25")
         stats = base.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *(F.sum(F.when(F.col(f"tf{i}") > 0, 1.0).otherwise(0.0)).alias(f"df{i}") for i in range(len(terms))))
         both = base.where(hit).join(F.broadcast(stats))  # one row
     else:

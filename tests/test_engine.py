@@ -180,3 +180,28 @@ def test_index_rows_of_shared_terms(spark):
     once = [("a", "One", True), ("a", "eins", False), ("root", "Root", True)]
     assert sorted(map(tuple, ontology.index_rows(onto, "root").collect())) == once
     assert set(map(tuple, ontology.index_rows(onto, "root", every=True).collect())) == {*once, ("b", "one", True), ("b", "uno", False), ("c", None, True)}
+
+
+def _takes_apart(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all")
+
+
+def test_ranking_takes_texts_apart_once(spark):
+    rows = spark.createDataFrame([(1, "Étude du foie", "fr"), (2, "liver liver map", "en"), (3, "a foie gras", "en"), (4, None, "en"), (5, "", None), (6, "foie", None)], "id long, text string, lang string")
+    words = analysis.tokens(F.col("text"))
+    whole = search.bm25(rows, "id", words, ["foie", "liver"])
+    assert _takes_apart(whole) == 0 and _takes_apart(search.index_statistics(rows, words)) == 1
+    n, avg = search.index_statistics(rows, words).first()
+    assert (n, avg) == (5, 9 / 5)
+    known = search.bm25(rows, "id", words, ["foie", "liver"], (n, avg, {"foie": 3, "liver": 1}))
+    assert _takes_apart(known) == 1
+    scores = {r.doc: r.score for r in whole.collect()}
+    assert set(scores) == {1, 2, 3, 6} and {r.doc: r.score for r in known.collect()} == pytest.approx(scores)
+    assert {r.doc: r.score for r in search.bm25(rows, "id", words, ["foie", "liver"], among=F.col("lang") == "en").collect()} == pytest.approx({k: scores[k] for k in (2, 3)})
+
+
+def test_fold_of_columns_and_of_queries_agree(spark):
+    letters = [chr(c) for c in [*range(0x20, 0x370), *range(0x1E00, 0x1F00), 0x65E5, 0x1F600]]
+    rows = spark.createDataFrame(list(enumerate([*letters, "", "Straße, cœur: e\u0301t\u0301", "plain text"])), "id long, c string")
+    assert [r.f for r in rows.select("id", analysis.fold(F.col("c")).alias("f")).orderBy("id").collect()] == [analysis.folded(r.c) for r in rows.orderBy("id").collect()]
+    assert rows.limit(1).select(analysis.fold(F.lit(None).cast("string")).alias("f")).first().f is None
