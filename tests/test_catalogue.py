@@ -37,3 +37,9 @@ def test_entry_imports_without_a_session():
 def test_empty_page_at_any_size(spark, tmp_path, rows):
     spark.range(rows).selectExpr("id AS doc_id", "'es' AS lang").unionByName(spark.sql("SELECT CAST(NULL AS long) AS doc_id, 'es' AS lang WHERE " + str(rows == 60_000))).write.parquet(f"{tmp_path}/documents.parquet")
     assert catalogue.QUERIES["empty_page"](spark, str(tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize("name", ["bm25_two_term_top20"])
+def test_ranked_queries_write_what_they_count_and_read_no_text_again(spark, name):
+    plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "documents.parquet" not in plan and "quillon-bm25-" in plan
