@@ -39,7 +39,7 @@ def test_empty_page_at_any_size(spark, tmp_path, rows):
     assert catalogue.QUERIES["empty_page"](spark, str(tmp_path)).collect() == []
 
 
-@pytest.mark.parametrize("name", ["bm25_two_term_top20"])
+@pytest.mark.parametrize("name", ["bm25_two_term_top20", "bm25_two_term_all", "bm25_under_a_filter"])
 def test_ranked_queries_write_what_they_count_and_read_no_text_again(spark, name):
     plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "regexp_extract_all" not in plan and "documents.parquet" not in plan and "quillon-bm25-" in plan
